@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_model, quality_rules
+from . import html_text, language, mixing, packing, quality_model, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": lambda spark, d: quality_rules.quality_query(table(spark, d, "documents")),
+    "op4_html_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),
     "op5_packing": lambda spark, d: packing.packing_query(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.mixing_query(table(spark, d, "documents")),
+    "op8_language": lambda spark, d: language.of_documents(table(spark, d, "documents")),
     "op10_quality_model": lambda spark, d: quality_model.score(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
