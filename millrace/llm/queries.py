@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, mixing, packing, pii, quality_model, quality_rules
+from . import html_text, language, mixing, near_duplicates, packing, pii, quality_model, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda spark, d: pii.digest(table(spark, d, "documents")),
     "op2_quality_rules": lambda spark, d: quality_rules.quality_query(table(spark, d, "documents")),
+    "op3_near_duplicates": lambda spark, d: near_duplicates.near_duplicates_query(table(spark, d, "documents")),
     "op4_html_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),
     "op5_packing": lambda spark, d: packing.packing_query(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.mixing_query(table(spark, d, "documents")),
