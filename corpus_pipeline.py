@@ -1,13 +1,63 @@
-"""The corpus pipeline: language ID, near-duplicate removal, personal data, mixing, packing."""
+"""The corpus pipeline: language ID, near-duplicate removal, personal data, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the columns
+of `documents`. `run` writes each stage's rows as Parquet in the shared folder and reads them back for the next one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import language, mixing, near_duplicates, packing, pii
+from millrace.llm.common import cut
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; `lang` becomes the language found."""
+    found = language.of_documents(docs).select(F.col("doc_id").alias("_id"), F.col("language").alias("_lang"), "kept").distinct()
+    kept = docs.join(found.where("kept"), F.col("doc_id") == F.col("_id"))
+    return kept.select(*[F.col("_lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return near_duplicates.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind; n_chars follows."""
+    return pii.mask_with_length(docs).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; those that it leaves out go."""
+    times = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "times").where("times > 0")
+    taken = docs.join(times, F.col("doc_id") == F.col("_id"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in sequences."""
+    return packing.packing_query(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Trained models and seeded choices have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, f"stage-{name}")
     return docs
