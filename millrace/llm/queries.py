@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, mixing, near_duplicates, packing, pii, quality_model, quality_rules
+from . import html_text, language, mixing, near_duplicates, packing, pii, quality_model, quality_rules, repeated_bytes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": lambda spark, d: packing.packing_query(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mixing.mixing_query(table(spark, d, "documents")),
     "op8_language": lambda spark, d: language.of_documents(table(spark, d, "documents")),
+    "op9_repeated_bytes": lambda spark, d: repeated_bytes.removal(table(spark, d, "documents")),
     "op10_quality_model": lambda spark, d: quality_model.score(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
