@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, mixing, near_duplicates, packing, pii, quality_model, quality_rules, repeated_bytes
+from . import html_text, language, mixing, near_duplicates, neighbours, packing, pii, quality_model, quality_rules, repeated_bytes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": lambda spark, d: near_duplicates.near_duplicates_query(table(spark, d, "documents")),
     "op4_html_text": lambda spark, d: html_text.extract(table(spark, d, "pages")),
     "op5_packing": lambda spark, d: packing.packing_query(table(spark, d, "documents")),
+    "op6_neighbours": lambda spark, d: neighbours.neighbours_query(table(spark, d, "embeddings")),
     "op7_mixing": lambda spark, d: mixing.mixing_query(table(spark, d, "documents")),
     "op8_language": lambda spark, d: language.of_documents(table(spark, d, "documents")),
     "op9_repeated_bytes": lambda spark, d: repeated_bytes.removal(table(spark, d, "documents")),
