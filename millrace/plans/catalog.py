@@ -1,15 +1,28 @@
-"""The registered queries and, for each, the SQL that it must agree with."""
+"""The registered queries and, for each, the SQL that it must agree with. All run over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import candidates, dedup, embed, generate, ivf, lsh, metrics, similarity, split
+from ..operators.components import groups
+from ..sources import examples as X
+from ..sources import manifest as M
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: The cosine that vector queries use: high enough to leave few pairs in the synthetic vectors, low enough to leave some.
+NEAR = 0.4
+N_PROBE = 3
+PERMS, BANDS, BAND_ROWS = 32, 8, 4
+
 
 def query(sql: str | None = None):
     """Registers a function of (spark, sf_dir) under its own name."""
@@ -27,7 +40,194 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def normal_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("norm", T.normalize(F.col("text")))
+    return d.withColumn("toks", T.tokens(F.col("norm")))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vec): the mean vector of each label, in place of trained centroids."""
+    parts = vectors(spark, sf_dir).select(F.col("label").cast("long").alias("id"), F.posexplode("vec").alias("k", "x")).groupBy("id", "k").agg(F.avg("x").alias("x"))
+    return parts.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("vec"))
+
+
+NORM = r"trim(regexp_replace(replace(strip_accents(lower(coalesce({0}, ''))), 'ß', 'ss'), '[^\p{{L}}\p{{N}}''-]+', ' ', 'g'))"
+TOKENS = "CASE WHEN norm = '' THEN []::VARCHAR[] ELSE string_split(norm, ' ') END"
+DOCS = f"n AS (SELECT *, {NORM.format('text')} AS norm FROM documents), d AS (SELECT *, {TOKENS} AS toks FROM n)"
+WORDS = DOCS + ", w AS (SELECT doc_id, lang, unnest(toks) AS tok FROM d), b AS (SELECT doc_id, lang, toks[i] || '_' || toks[i+1] AS tok FROM (SELECT doc_id, lang, toks, unnest(range(1, len(toks))) AS i FROM d WHERE len(toks) >= 2))"
+VECS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label FROM embeddings), u AS (SELECT id, label, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM v)"
+PAIRS = VECS + ", p AS (SELECT a.id AS i, b.id AS j, greatest(-1.0, least(1.0, list_dot_product(a.vec, b.vec))) AS sim FROM u a JOIN u b ON a.id < b.id)"
+BOTH = PAIRS + ", q AS (SELECT i, j, sim FROM p UNION ALL SELECT j, i, sim FROM p)"
+CENTROIDS = VECS + ", ck AS (SELECT label::BIGINT AS c, k, avg(vec[k]) AS x FROM v, range(1, 65) r(k) GROUP BY 1, 2), cc AS (SELECT c, list(x ORDER BY k) AS cv FROM ck GROUP BY c), cu AS (SELECT c, list_transform(cv, lambda x: x / sqrt(list_dot_product(cv, cv))) AS cv FROM cc), pr AS (SELECT u.id, cu.c AS list, row_number() OVER (PARTITION BY u.id ORDER BY list_dot_product(u.vec, cu.cv) DESC, cu.c) AS r FROM u, cu)"
+SHA = "sha256({0} || chr(31))"
+
+
+# Text scalars
+
+
+@query(f"WITH {DOCS} SELECT doc_id, sha256(norm) AS norm_hash, length(norm)::BIGINT AS norm_chars, len(toks)::BIGINT AS n_tokens FROM d")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normal_documents(spark, sf_dir).select("doc_id", F.sha2("norm", 256).alias("norm_hash"), F.length("norm").cast("long").alias("norm_chars"), F.size("toks").cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, count(*)::BIGINT AS n, count(DISTINCT tok)::BIGINT AS n_distinct FROM (SELECT doc_id, tok FROM w UNION ALL SELECT doc_id, tok FROM b) GROUP BY doc_id")
+def word_shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = normal_documents(spark, sf_dir).select("doc_id", T.word_shingles(F.col("toks")).alias("s"))
+    return s.where(F.size("s") > 0).select("doc_id", F.size("s").cast("long").alias("n"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"))
+
+
+_CHARS = " UNION ALL ".join(f"SELECT p_partkey, substr(s, i::INT, {n}) AS g FROM (SELECT p_partkey, s, unnest(range(1, length(s) - {n - 2})) AS i FROM c WHERE length(s) >= {n})" for n in (3, 4, 5))
+
+
+@query(f"WITH c AS (SELECT p_partkey, ' ' || {NORM.format('p_name')} || ' ' AS s FROM part), g AS ({_CHARS}) SELECT p_partkey, count(*)::BIGINT AS n, count(DISTINCT g)::BIGINT AS n_distinct FROM g GROUP BY p_partkey")
+def char_shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "part").select("p_partkey", T.char_shingles(T.normalize(F.col("p_name"))).alias("s"))
+    return s.select("p_partkey", F.size("s").cast("long").alias("n"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH c AS (SELECT p_partkey, {NORM.format('p_name')} AS norm FROM part), t AS (SELECT p_partkey, {TOKENS} AS toks FROM c), w AS (SELECT p_partkey, 'w:' || unnest(toks) AS f FROM t UNION ALL SELECT p_partkey, 'w:' || toks[i] || '_' || toks[i+1] FROM (SELECT p_partkey, toks, unnest(range(1, len(toks))) AS i FROM t)), cc AS (SELECT p_partkey, ' ' || norm || ' ' AS s FROM c), g AS ({_CHARS.replace('FROM c WHERE', 'FROM cc WHERE')}) SELECT p_partkey, count(DISTINCT f)::BIGINT AS n_features FROM (SELECT * FROM w UNION ALL SELECT p_partkey, 'c:' || g FROM g) GROUP BY p_partkey")
+def shingle_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(T.shingle_set(T.normalize(F.col("p_name")))).cast("long").alias("n_features"))
+
+
+@query(f"WITH {WORDS} SELECT tok AS ngram, count(*)::BIGINT AS n FROM b GROUP BY tok HAVING count(*) > 2")
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.ngram_counts(normal_documents(spark, sf_dir), "toks", 2).where("n > 2")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, {SHA.format('norm')} AS content_hash FROM d")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normal_documents(spark, sf_dir).select("doc_id", T.content_hash(F.col("norm")).alias("content_hash"))
+
+
+@query("SELECT p_partkey, ('0x' || substr(md5(p_name), 1, 8))::BIGINT AS h FROM part")
+def portable_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.portable_hash(F.col("p_name")).alias("h"))
+
+
+# Exact duplicates and lineage hashes
+
+
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash, count(*)::BIGINT AS n_copies FROM documents GROUP BY sha256(text)")
 def exact_dedup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+
+
+@query(f"WITH {DOCS}, k AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY norm) AS kept FROM d) SELECT doc_id, kept AS kept_index, {SHA.format('text')} AS input_hash, substr(text, 1, 80) AS preview FROM k WHERE doc_id <> kept")
+def exact_dedup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    g = dedup.exact_groups(docs).where("id <> group_id")
+    return g.join(docs, "id").select(F.col("id").alias("doc_id"), F.col("group_id").alias("kept_index"), T.content_hash(F.col("text")).alias("input_hash"), T.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT sha256(string_agg(h, '' ORDER BY h)) AS corpus_hash FROM (SELECT sha256(text) AS h FROM benchmark)")
+def corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.corpus_hash(table(spark, sf_dir, "benchmark"))
+
+
+@query(f"SELECT sha256(string_agg({NORM.format('text')}, chr(31) ORDER BY item_id)) AS corpus_hash FROM benchmark")
+def order_dependent_corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.ordered_corpus_hash(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+# Reports
+
+
+@query(f"WITH {WORDS} SELECT count(DISTINCT tok) / count(*) AS type_token_ratio FROM w")
+def type_token_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.type_token_ratio(normal_documents(spark, sf_dir))
+
+
+@query(f"WITH {WORDS} SELECT count(*)::BIGINT AS total, count(DISTINCT tok)::BIGINT AS \"distinct\", count(DISTINCT tok) / count(*) AS share FROM b")
+def distinct_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.distinct_share(normal_documents(spark, sf_dir), "toks", 2)
+
+
+@query(f"WITH {WORDS}, o AS (SELECT lang, count(*)::BIGINT AS n_tokens, count(DISTINCT tok)::BIGINT AS n_types FROM w GROUP BY lang), t AS (SELECT lang, count(DISTINCT tok) / count(*) AS distinct_2 FROM b GROUP BY lang) SELECT lang, n_types / n_tokens AS type_token_ratio, n_types / n_tokens AS distinct_1, coalesce(distinct_2, 0.0) AS distinct_2, n_tokens, n_types FROM o LEFT JOIN t USING (lang)")
+def diversity_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.diversity(normal_documents(spark, sf_dir), "toks", "lang")
+
+
+def _profile(by: str) -> str:
+    one = lambda c, p: f"avg({c}::DOUBLE) AS {p}_mean, min({c})::DOUBLE AS {p}_min, max({c})::DOUBLE AS {p}_max, " + ", ".join(f"quantile_cont({c}::DOUBLE, {q / 100}) AS {p}_p{q}" for q in metrics.PERCENTILES)
+    return f"WITH {DOCS}, s AS (SELECT lang, len(toks) AS w, length(norm) AS c FROM d) SELECT {by}count(*)::BIGINT AS n_examples, {one('w', 'words')}, {one('c', 'chars')}, count(*) FILTER (w = 0)::BIGINT AS empty_count FROM s" + (" GROUP BY lang" if by else "")
+
+
+@query(_profile(""))
+def length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.length_profile(table(spark, sf_dir, "documents"))
+
+
+@query(_profile("lang, "))
+def length_profile_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.length_profile(table(spark, sf_dir, "documents"), "text", "lang")
+
+
+@query("SELECT coalesce(nullif(c_mktsegment, ''), '_untagged') AS label, count(*)::BIGINT AS n, count(*) / (SELECT count(*) FROM customer) AS share FROM customer GROUP BY 1")
+def tag_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.proportions(metrics.tag_distribution(table(spark, sf_dir, "customer"), "c_mktsegment"))
+
+
+_DRIFT = "o AS (SELECT o_orderpriority AS label, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), r AS (SELECT o_orderpriority AS label, count(*)::BIGINT AS n FROM orders GROUP BY 1), t AS (SELECT coalesce(o.label, r.label) AS label, coalesce(o.n, 0) AS observed, coalesce(r.n, 0) AS reference FROM o FULL JOIN r ON o.label = r.label)"
+
+
+def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return metrics.drift_table(metrics.tag_distribution(orders.where("o_orderstatus = 'F'"), "o_orderpriority"), metrics.tag_distribution(orders, "o_orderpriority"))
+
+
+@query(f"WITH {_DRIFT} SELECT label, observed, reference FROM t")
+def distribution_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift(spark, sf_dir)
+
+
+@query(f"WITH {_DRIFT}, s AS (SELECT sum(observed) AS o, sum(reference) AS r FROM t), p AS (SELECT observed / o AS p, reference / r AS q, observed, reference, reference / r * o AS e FROM t, s) SELECT round(max(abs(p - q)), 9) AS max_proportion_gap, count(*) FILTER (reference = 0)::BIGINT AS n_new_labels, count(*) FILTER (observed = 0)::BIGINT AS n_lost_labels, round(sum((observed - e) ** 2 / e), 6) AS chi_square, (count(*) - 1)::BIGINT AS chi2_dof, round(sqrt(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(q * log2(q / ((p + q) / 2))) / 2), 7) AS js_distance FROM p")
+def drift_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = metrics.drift_statistics(_drift(spark, sf_dir))
+    return s.select(F.round("max_proportion_gap", 9).alias("max_proportion_gap"), "n_new_labels", "n_lost_labels", F.round("chi_square", 6).alias("chi_square"), F.col("chi2_dof").cast("long").alias("chi2_dof"), F.round("js_distance", 7).alias("js_distance"))
+
+
+# Vectors and similarity joins
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("id", F.round(V.norm(F.col("vec")), 6).alias("norm"), F.round(F.get(V.unit(F.col("vec")), F.lit(0)), 6).alias("first"))
+
+
+@query(f"WITH {PAIRS} SELECT i, j, round(sim, 6) AS sim FROM p WHERE sim >= {NEAR}")
+def exact_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.pairs_above(vectors(spark, sf_dir), NEAR).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@query(f"WITH {BOTH}, r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS rank FROM q) SELECT i, rank::INT AS rank, j FROM r WHERE rank <= 5")
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.top_k(vectors(spark, sf_dir), 5).select("i", "rank", "j")
+
+
+@query(f"WITH {BOTH} SELECT i, string_agg(j::VARCHAR, ',' ORDER BY j) AS neighbours, count(*)::BIGINT AS degree FROM q WHERE sim >= {NEAR} GROUP BY i")
+def adjacency_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = similarity.adjacency(similarity.pairs_above(vectors(spark, sf_dir), NEAR))
+    return a.select("i", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"), F.size("neighbours").cast("long").alias("degree"))
+
+
+@query(f"WITH {BOTH}, m AS (SELECT i, 1 - max(sim) AS d FROM q GROUP BY i) SELECT count(*)::BIGINT AS n_examples, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.5), 6) AS median, round(min(d), 6) AS min, round(max(d), 6) AS max, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.9), 6) AS p90, avg((d < 0.1)::INT::DOUBLE) AS frac_below_0_10 FROM m")
+def nn_cosine_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = metrics.neighbour_distances(vectors(spark, sf_dir))
+    return s.select("n_examples", *[F.round(c, 6).alias(c) for c in ("mean", "median", "min", "max", "p10", "p90")], "frac_below_0_10")
+
+
+@query(f"WITH {VECS} SELECT a.id AS i, arg_max(b.id, struct_pack(s := list_dot_product(a.vec, b.vec), m := -b.id)) AS j FROM u a JOIN u b ON a.label = 0 AND b.label = 1 GROUP BY a.id")
+def nearest_in_other_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return similarity.nearest_in(v.where("label = 0"), v.where("label = 1")).select("i", "j")
+
+
+# Hashed and weighted text vectors, through an inverted index
+
+
