@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -30,7 +31,7 @@ def normalize_exactly(text: str | None) -> str:
     return " ".join("".join(kept).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_unicode(text: pd.Series) -> pd.Series:
     return text.map(normalize_exactly)
 
@@ -46,17 +47,26 @@ def tokens(normal: Column) -> Column:
     return F.when(normal == "", F.array().cast("array<string>")).otherwise(F.split(normal, " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, even if the optimiser moves its definition into a lambda that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(items: Column, n: int, joint: str = "_") -> Column:
     """Runs of n items, joined; none if there are fewer."""
     if n == 1:
         return items
-    return F.when(F.size(items) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(items) - n), lambda i: F.concat_ws(joint, *[F.get(items, i + k) for k in range(n)]))
-    )
+
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(joint, *[F.get(w, i + k) for k in range(n)]))
+        )
+
+    return let(items, runs)
 
 
 def word_shingles(toks: Column, low: int = 1, high: int = 2) -> Column:
-    return F.concat(*[ngrams(toks, n) for n in range(max(1, low), max(high, 1) + 1)])
+    return let(toks, lambda w: F.concat(*[ngrams(w, n) for n in range(max(1, low), max(high, 1) + 1)]))
 
 
 def char_shingles(normal: Column, low: int = 3, high: int = 5) -> Column:
@@ -66,15 +76,17 @@ def char_shingles(normal: Column, low: int = 3, high: int = 5) -> Column:
     def of(chars: Column) -> Column:
         return F.concat(*[ngrams(chars, n, "") for n in range(max(1, low), max(high, 1) + 1)])
 
-    found = F.get(F.transform(F.array(letters), of), F.lit(0))
-    return F.when(normal == "", F.array().cast("array<string>")).otherwise(found)
+    return F.when(normal == "", F.array().cast("array<string>")).otherwise(let(letters, of))
 
 
 def features(normal: Column, words: tuple[int, int] = (1, 2), chars: tuple[int, int] = (3, 5)) -> Column:
     """Word runs under w: and character runs under c:, repeats kept."""
-    w = F.transform(word_shingles(tokens(normal), *words), lambda x: F.concat(F.lit("w:"), x))
-    c = F.transform(char_shingles(normal, *chars), lambda x: F.concat(F.lit("c:"), x))
-    return F.concat(w, c)
+
+    def of(s: Column) -> Column:
+        w = F.transform(word_shingles(tokens(s), *words), lambda x: F.concat(F.lit("w:"), x))
+        return F.concat(w, F.transform(char_shingles(s, *chars), lambda x: F.concat(F.lit("c:"), x)))
+
+    return let(normal, of)
 
 
 def shingle_set(normal: Column, **ranges) -> Column:

@@ -34,7 +34,8 @@ def signatures(sets: DataFrame, features: str, num_perm: int, seed: int = 13) ->
 
     Partial minima are taken before the shuffle, so an id costs one row per task at most.
     """
-    h = sets.select("id", F.pmod(portable_hash(F.explode_outer(F.array_distinct(F.col(features)))), F.lit(PRIME)).alias("h"))
+    each = sets.select("id", F.explode_outer(F.array_distinct(F.col(features))).alias("f"))
+    h = each.select("id", F.pmod(portable_hash(F.col("f")), F.lit(PRIME)).alias("h"))
     least = [F.coalesce(F.min((F.lit(a) * F.col("h") + F.lit(b)) % PRIME), F.lit(PRIME)).alias(f"m{k}") for k, (a, b) in enumerate(coefficients(num_perm, seed))]
     return h.groupBy("id").agg(*least).select("id", F.array(*[f"m{k}" for k in range(num_perm)]).alias("signature"))
 
