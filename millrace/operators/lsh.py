@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import portable_hash
+from ..functions.text import let, portable_hash
 
 PRIME = (1 << 31) - 1
 MARGIN = 0.8
@@ -32,12 +32,11 @@ def coefficients(num_perm: int, seed: int = 13) -> list[tuple[int, int]]:
 def signatures(sets: DataFrame, features: str, num_perm: int, seed: int = 13) -> DataFrame:
     """(id, signature): per permutation the least (a h + b) mod p over a row's features; an empty set gives all p.
 
-    Partial minima are taken before the shuffle, so an id costs one row per task at most.
+    Each row holds its whole set, so this is a narrow step: no shuffle, and every feature is hashed once.
     """
-    each = sets.select("id", F.explode_outer(F.array_distinct(F.col(features))).alias("f"))
-    h = each.select("id", F.pmod(portable_hash(F.col("f")), F.lit(PRIME)).alias("h"))
-    least = [F.coalesce(F.min((F.lit(a) * F.col("h") + F.lit(b)) % PRIME), F.lit(PRIME)).alias(f"m{k}") for k, (a, b) in enumerate(coefficients(num_perm, seed))]
-    return h.groupBy("id").agg(*least).select("id", F.array(*[f"m{k}" for k in range(num_perm)]).alias("signature"))
+    least = lambda hs, a, b: F.coalesce(F.array_min(F.transform(hs, lambda h: (F.lit(a) * h + F.lit(b)) % PRIME)), F.lit(PRIME))
+    hashes = F.transform(F.array_distinct(F.coalesce(F.col(features), F.array().cast("array<string>"))), lambda f: F.pmod(portable_hash(f), F.lit(PRIME)))
+    return sets.select("id", let(hashes, lambda hs: F.array(*[least(hs, a, b) for a, b in coefficients(num_perm, seed)])).alias("signature"))
 
 
 def bands_of(signature: Column, bands: int, rows: int) -> Column:
