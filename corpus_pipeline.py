@@ -15,7 +15,8 @@ from millrace.llm.common import cut
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; `lang` becomes the language found."""
-    found = language.of_documents(docs).select(F.col("doc_id").alias("_id"), F.col("language").alias("_lang"), "kept").distinct()
+    found = language.of_documents(docs).select(F.col("doc_id").alias("_id"), F.col("language").alias("_lang"), "kept")
+    found = found.groupBy("_id").agg(F.min("_lang").alias("_lang"), F.max("kept").alias("kept"))  # a doc_id may stand in several rows
     kept = docs.join(found.where("kept"), F.col("doc_id") == F.col("_id"))
     return kept.select(*[F.col("_lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
@@ -32,7 +33,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those that it leaves out go."""
-    times = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "times").where("times > 0")
+    times = cut(mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")), "times")
+    if not times.where("rows > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])  # repeated rows are one document taken the sum of their times
+    times = times.where("times > 0").drop("rows")
     taken = docs.join(times, F.col("doc_id") == F.col("_id"))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(docs.columns)
 
