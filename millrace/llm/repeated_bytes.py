@@ -4,7 +4,8 @@ A string of 50 bytes goes where it also starts in a document of smaller doc_id.
 every other text, each window of 50 bytes names the least 16-byte gram within it (its minimizer), which depends on the window
 alone; so only windows whose minimizer occurs in two texts can repeat. The stretches of text around such minimizers
 become segments; equal segments are merged, and segments of a minimizer that has several are dealt into shards by
-minimizer. Each shard is suffix-sorted by external induced sorting (induced_sort.py); suffixes that share 50 bytes with their
+minimizer. A minimizer whose segments would fill a good part of a shard is hot: its windows are grouped one by one over their
+hash instead, so no shard grows with the number of texts that hold a common line. Each shard is suffix-sorted by external induced sorting (induced_sort.py); suffixes that share 50 bytes with their
 neighbour form groups, and the smallest document of a group owns its string. Documents then
 look up their segments and drop every byte of windows that an earlier document owns.
 
@@ -31,6 +32,10 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of segments in a shard.
 SHARD = 2_000_000
+#: Bytes of segments beyond which a minimizer is hot.
+HOT = 250_000
+#: A window in at least so many segments of hot minimizers, or a HOT_SHARE-th of all their windows, is looked up apart from the others.
+HOT_WINDOW, HOT_SHARE = 10_000, 100_000
 #: A filter side of at most so many rows is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Bytes of text handled at once.
@@ -200,6 +205,42 @@ def shard_owners(distinct: DataFrame) -> DataFrame:
     return distinct.select("value", "id1", "id2", "doc", "bytes").mapInArrow(run, "id1 long, id2 long, owner array<long>")
 
 
+def emit_windows(hot: DataFrame) -> DataFrame:
+    """From (id1, id2, doc, bytes): one row (id1, id2, k, w1, w2, doc) for each window k of a segment, w1 and w2 its hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                pieces = part.column(3).to_pylist()
+                counts = np.array([len(s) - LENGTH + 1 for s in pieces])
+                hashes = b"".join(hashlib.blake2b(s[k : k + LENGTH], digest_size=16).digest() for s in pieces for k in range(len(s) - LENGTH + 1))
+                w = np.frombuffer(hashes, np.int64).reshape(-1, 2)
+                of = np.repeat(np.arange(len(pieces)), counts)
+                k = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                ids = [part.column(i).to_numpy()[of] for i in range(3)]
+                columns = [ids[0], ids[1], k.astype(np.int32), w[:, 0], w[:, 1], ids[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["id1", "id2", "k", "w1", "w2", "doc"])
+
+    return hot.select("id1", "id2", "doc", "bytes").mapInArrow(run, "id1 long, id2 long, k int, w1 long, w2 long, doc long")
+
+
+def hot_owners(hot: DataFrame) -> DataFrame:
+    """What `shard_owners` gives, for segments of hot minimizers, by grouping windows over their hash; no group is held in one task."""
+    windows = cut(emit_windows(hot), "hot-windows")
+    least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = cut(least, "hot-least")
+    # So many rows of one window don't go to one task: such windows are few, at most HOT_SHARE.
+    limit = max(HOT_WINDOW, windows.count() // HOT_SHARE)
+    common = least.where(F.col("n") >= limit).select("w1", "w2", F.col("least").alias("top"))
+    found = windows.join(F.broadcast(common), ["w1", "w2"], "left")
+    settled = found.where(F.col("top").isNotNull()).select("id1", "id2", "k", F.col("top").alias("owner"))
+    rest = found.where(F.col("top").isNull()).join(least.where(F.col("n") < limit).select("w1", "w2", "least"), ["w1", "w2"], "left")
+    every = settled.unionByName(rest.select("id1", "id2", "k", F.coalesce("least", "doc").alias("owner")))
+    owner = F.transform(F.array_sort(F.collect_list(F.struct("k", "owner"))), lambda x: x["owner"])
+    return every.groupBy("id1", "id2").agg(owner.alias("owner"))
+
+
 def removal(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -216,10 +257,16 @@ def removal(docs: DataFrame) -> DataFrame:
 
     distinct = emit_segments(texts, True).groupBy("value", "id1", "id2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.first("bytes").alias("bytes"))
     distinct = cut(distinct, "segments")
-    several = cut(distinct.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), "several")
-    parts = max(1, int((distinct.join(several, "value", "left_semi").agg(F.sum(F.length("bytes"))).first()[0] or 0) // SHARD) + 1)
-    dealt = distinct.join(several, "value", "left_semi").repartition(max(parts, 12), "value").sortWithinPartitions("value")
+    several = cut(distinct.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("size")).where("n > 1").select("value", "size"), "several")
+    hot = several.where(F.col("size") > HOT).select("value")
+    cold = several.where(F.col("size") <= HOT)
+    parts = max(1, int(cold.agg(F.sum("size")).first()[0] or 0) // SHARD + 1)
+    some_hot = not hot.isEmpty()
+    others = distinct.join(small(hot), "value", "left_anti") if some_hot else distinct
+    dealt = others.join(cold.select("value"), "value", "left_semi").repartition(max(parts, 12), "value").sortWithinPartitions("value")
     owner = cut(shard_owners(dealt), "owners")
+    if some_hot:
+        owner = owner.unionByName(cut(hot_owners(distinct.join(small(hot), "value", "left_semi")), "hot-owners"))
     # Segments that lie alone on their minimizer have one owner for all windows.
     table = distinct.select("id1", "id2", "doc", "last").join(owner, ["id1", "id2"], "left")
     table = cut(table.where(F.col("owner").isNotNull() | (F.col("doc") < F.col("last"))).select("id1", "id2", "doc", "owner"), "table")

@@ -341,6 +341,26 @@ def test_repeated_bytes_without_broadcast(spark, monkeypatch):
     assert got == {i: v[1] for i, v in brute_removal(docs).items()}
 
 
+def test_hot_minimizers(spark, monkeypatch):
+    """A line that all texts hold, each between words of its own: no shard gets more of a minimizer than the limit."""
+    for name, value in (("HOT", 500), ("HOT_WINDOW", 20)):
+        monkeypatch.setattr(repeated_bytes, name, value, raising=False)
+    most = []
+    solve = repeated_bytes.shard_owners
+
+    def watched(dealt):
+        most.append(dealt.groupBy("value").agg(F.sum(F.length("bytes")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return solve(dealt)
+
+    monkeypatch.setattr(repeated_bytes, "shard_owners", watched)
+    r = random.Random(11)
+    line = sentence(r, 25)
+    docs = {(i * 7) % 80: f"{sentence(r, 6)} {line if i % 3 else line[:70]} {sentence(r, 6)}" for i in range(80)}
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeated_bytes.removal(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert got == brute_removal(docs)
+    assert most and most[0] <= 500
+
+
 def test_blocks_join_up(monkeypatch):
     r = random.Random(9)
     text = sentence(r, 300).encode()
