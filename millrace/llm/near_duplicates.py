@@ -5,7 +5,8 @@ sends arrivals of a Poisson process of its weight's rate to random registers; a
 element stops as soon as its next arrival is later than all registers hold, so a document of n runs costs about n arrivals
 plus what fills the registers. Two documents agree in a register with their probability Jaccard similarity.
 
-Registers are banded; documents that share a band are candidates; a candidate pair is a link if the
+Registers are banded, those of weighted runs and, where a run repeats, those of runs of weight one as well, under the same keys;
+so any two documents meet at least as often as their plain similarity lets them. Documents that share a band are candidates; a candidate pair is a link if the
 plain Jaccard similarity of the two sets of runs is at least the threshold, computed from the sets themselves. Classes are the
 connected components of links. Equal texts are one document throughout. Within a bucket no all-pairs list is made:
 everyone is compared with one head, then what isn't in the head's class with a second head, and only pairs of
@@ -30,7 +31,7 @@ from .components import components
 
 SIZE = 5
 THRESHOLD_TENTHS = 8
-#: 24 bands of 5: a pair at 0.8 is missed with a chance of 7e-5.
+#: 24 bands of 5: a pair whose plain similarity is 0.8 is missed with a chance of 7e-5.
 BANDS, ROWS = 24, 5
 #: Elements that one vectorised step works on.
 AT_ONCE = 1 << 18
@@ -85,7 +86,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, h1, h2 (hash of the text), n (distinct runs), keys (one for each band; none without runs)."""
+    """doc_id, h1, h2 (hash of the text), n (distinct runs), keys (one for each band and set of weights; none without runs)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     runs = docs.select("doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), shingles_of(words_of(F.col("text")), SIZE).alias("runs"))
 
@@ -103,11 +104,20 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 found = [np.unique(values[ends[k] : ends[k + 1]], return_counts=True) for k in range(a, b)]
                 sizes[a:b] = [len(v) for v, _ in found]
                 elements = np.concatenate([v for v, _ in found]).view(np.uint64)
-                weights = 1 + np.log(np.concatenate([c for _, c in found]))
-                keys.append(band_keys(signatures(elements, weights, np.repeat(np.arange(b - a), sizes[a:b]), b - a, bands * rows), bands, rows))
+                counts = np.concatenate([c for _, c in found])
+                document = np.repeat(np.arange(b - a), sizes[a:b])
+                found_keys = list(band_keys(signatures(elements, 1 + np.log(counts), document, b - a, bands * rows), bands, rows))
+                # Where no run repeats, the two sets of keys are the same.
+                repeats = np.zeros(b - a, bool)
+                repeats[document[counts > 1]] = True
+                of = repeats[document]
+                plain = band_keys(signatures(elements[of], np.ones(int(of.sum())), (np.cumsum(repeats) - 1)[document[of]], int(repeats.sum()), bands * rows), bands, rows)
+                for k, more in zip(np.flatnonzero(repeats), plain, strict=True):
+                    found_keys[k] = np.unique(np.concatenate([found_keys[k], more]))
+                keys += [x if n else x[:0] for x, n in zip(found_keys, sizes[a:b], strict=True)]
                 a = b
-            flat = np.concatenate(keys)[sizes > 0].ravel() if keys else np.zeros(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "h1", "h2", "n", "keys"])
 
     return runs.mapInArrow(run, "doc_id long, h1 long, h2 long, n long, keys array<long>")
@@ -159,7 +169,7 @@ def classes(docs: DataFrame, tenths: int = THRESHOLD_TENTHS, bands: int = BANDS,
             more = left.join(second, "key").where((F.col("root") != F.col("head.root")) & alike(F.col("n"), F.col("head.n"))).select(*pair(F.col("doc"), F.col("head.doc")))
         more = cut(more.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
-            break
+            continue
         new = cut(verified(more, sets, tenths), "links")
         checked = cut(checked.unionByName(more), "pairs")
         if not new.isEmpty():

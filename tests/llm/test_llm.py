@@ -179,6 +179,32 @@ def test_near_copies_of_near_copies(spark):
     assert got == brute_classes(docs)
 
 
+def test_pairs_whose_repeats_differ(spark):
+    """Plain similarity over 0.8, weighted one far below: copies that repeat a line a thousand times."""
+    docs = []
+    for i in range(20):
+        r = random.Random(100 + i)
+        base = sentence(r, 80)
+        docs += [(2 * i, base), (2 * i + 1, base + f" {sentence(r, 8)}" * 1000)]
+    got = {x.doc_id: x.class_id for x in near_duplicates.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = sets_of(docs)
+    alike = [i for i in range(20) if 10 * len(sets[2 * i] & sets[2 * i + 1]) >= 8 * len(sets[2 * i] | sets[2 * i + 1])]
+    assert len(alike) == 20 and all(got[2 * i + 1] == 2 * i for i in alike)
+
+
+def test_a_second_head_unlike_all_ends_nothing(spark):
+    """One bucket whose heads are too small for the others: the pair that remains is still compared."""
+    words = [f"u{i}" for i in range(104)]
+    runs = spark.createDataFrame([(" ".join(words),)], "text string").select(near_duplicates.shingles_of(near_duplicates.words_of(F.col("text")), 5)).first()[0]
+    e = np.array(runs, np.int64).view(np.uint64)
+    k = runs.index(int(near_duplicates.signatures(e, np.ones(len(e)), np.zeros(len(e), int), 1, 1).view(np.int64)[0, 0]))
+    lo = min(max(0, k - 4), 85)
+    texts = [words[k : k + 5], words[lo : lo + 14], words, words[:-1] if k < 99 else words[1:]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {x.doc_id: x.class_id for x in near_duplicates.classes(spark.createDataFrame(docs, "doc_id long, text string"), bands=1, rows=1).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(0)
     a, b = np.arange(1, 301), np.arange(101, 401)
