@@ -16,8 +16,8 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 NATIVE = r"^[\x00-\x7FßÀ-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ]*$"
 
 
-def normalize(text: Column) -> Column:
-    """Lower case without accents; letters, digits, apostrophes and hyphens stay, all else is one space; null gives ''. For Latin-1 text."""
+def _normalize_latin(text: Column) -> Column:
+    """`normalize` for what NATIVE matches."""
     low = F.replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
     return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}'-]+", " "))
 
@@ -36,10 +36,16 @@ def normalize_unicode(text: pd.Series) -> pd.Series:
     return text.map(normalize_exactly)
 
 
+def normalize(text: Column) -> Column:
+    """Folded case without accents; letters, digits, apostrophes and hyphens stay, all else is one space; null gives ''. Only rows beyond Latin-1 bring their text to Python."""
+    simple = text.isNull() | text.rlike(NATIVE)
+    return F.when(simple, _normalize_latin(text)).otherwise(normalize_unicode(F.when(~simple, text)))
+
+
 def with_normalized(df: DataFrame, text: str, into: str) -> DataFrame:
     """Adds the normalised text; only rows beyond Latin-1 go through Python."""
     simple = F.col(text).isNull() | F.col(text).rlike(NATIVE)
-    return df.where(simple).withColumn(into, normalize(F.col(text))).unionByName(df.where(~simple).withColumn(into, normalize_unicode(F.col(text))))
+    return df.where(simple).withColumn(into, _normalize_latin(F.col(text))).unionByName(df.where(~simple).withColumn(into, normalize_unicode(F.col(text))))
 
 
 def tokens(normal: Column) -> Column:

@@ -29,6 +29,19 @@ def test_normalise(spark):
     assert [T.normalize_exactly(a) for a, _ in NORMAL] == [b for _, b in NORMAL]
 
 
+def test_operators_normalise_all_of_unicode(spark):
+    """Composed and decomposed copies, ligatures and full-width forms are one exact group; every operator's form is the exact one."""
+    same = ["caf\u00e9 \ufb01ne", "cafe\u0301 fine", "\uff23\uff41\uff46\uff45 FINE", "CAFE fine"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*same, "other", None])], "id long, text string")
+    got = {r.id: r.group_id for r in dedup.exact_groups(df).collect()}
+    assert all(got[i] == 0 for i in range(4)) and got.get(4, 4) == 4
+    forms = df.select("text", T.normalize(F.col("text")).alias("n"), T.tokens(T.normalize(F.col("text"))).alias("t"), T.shingle_set(T.normalize(F.col("text"))).alias("s")).collect()
+    assert [r.n for r in forms] == [T.normalize_exactly(r.text) for r in forms] and len({tuple(sorted(r.s)) for r in forms[:4]}) == 1
+    assert df.where("id < 4").groupBy(T.content_key(F.col("text"), F.lit("x"))).count().count() == 1
+    assert M.ordered_corpus_hash(df.where("id = 0"), "id").first()[0] == M.ordered_corpus_hash(df.where("id = 1").withColumn("id", F.lit(0)), "id").first()[0]
+    assert embed.HashingEmbedder(32).embed(df.where("id < 4")).select("vec").distinct().count() == 1
+
+
 def test_shingles(spark):
     n = spark.createDataFrame([("a b c",), ("",)], "t string")
     got = {r[0]: (r[1], r[2]) for r in n.select("t", T.features(F.col("t")), F.size(T.shingle_set(F.col("t")))).collect()}
