@@ -232,7 +232,7 @@ def nearest_in_other_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest_in(v.where("label = 0"), v.where("label = 1")).select("i", "j")
 
 
-# Hashed and weighted text vectors, through an inverted index
+# Hashed and weighted text vectors
 
 
 def hashed_words(docs: DataFrame, dim: int = 64) -> DataFrame:
