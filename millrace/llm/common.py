@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; a local one only where the session names none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set; on a cluster, tables between steps need a folder that all machines share")
     mine = getattr(sc, "_millrace_dir", None)
     if mine is None:
         mine = tempfile.mkdtemp(prefix="millrace-")
@@ -33,12 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     return mine
 
 
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
+def cut(df: DataFrame, name: str = "part", compression: str = "snappy") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here and a lost executor costs only a read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote and nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    for df in tables:
+        spark, path = df.sparkSession, df._millrace_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,45 +1,62 @@
 """Suffix sorting of a shard by external induced sorting.
 
-Suffix tuples (position, common prefix with the tuple before) wait in a monotone priority queue that is keyed by first
-character and keeps arrival order, which in induced sorting is rank order; beyond a memory budget it writes to disk. A pass over
-ascending characters induces the L-type suffixes from the sorted LMS suffixes, a pass over descending ones the S-type
-suffixes; each pushed tuple's common prefix is one more than the least one among the tuples that lie between its
-source and the source pushed before. LMS suffixes are sorted by inducing their substrings, naming these, and
-solving the string of names: by recursion while its alphabet is small, by rank doubling beyond.
+What grows with the text lies in files that are mapped or appended to: symbols, LMS positions, names, L-type suffixes, output. In
+memory are at most some multiples of `budget` tuples. The priority queue (`DiskQueue`) is monotone: keys are characters
+or ranges of them (slabs), and within a key arrival order is rank order. A pass over ascending slabs induces the L-type suffixes from the
+sorted LMS suffixes, a pass over descending ones the S-type suffixes. At the first level, where a slab is one character, tuples
+carry their common prefix with the tuple before; a pushed tuple's is one more than the least one between its source
+and the source pushed before. At deeper levels a slab is a range of names; suffixes induced within their own slab are
+ranked by their chains of sources. LMS substrings are sorted over packed words, dealt to disk by the first word, and the
+string of their names is sorted by the same induction, recursively, whatever its alphabet.
+
+Cases: an empty text has no suffixes; a text of one character, runs and periods are sorted as any other; `cap` is below 255.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Tuples of the queue in memory, and tuples handled in one step.
-IN_MEMORY, CHUNK = 1 << 20, 1 << 18
-#: Names up to which the reduced string is sorted by recursion.
-SMALL_ALPHABET = 1024
+#: Tuples of a queue in memory; a slab and a block of tuples are half as large.
+IN_MEMORY = 1 << 18
+
+
+def scratch() -> str | None:
+    """The folder that Spark gives this executor for spilled data (SPARK_LOCAL_DIRS); a task's files in it go with the task."""
+    dirs = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    return dirs[os.getpid() % len(dirs)] if dirs else None
 
 
 class DiskQueue:
-    """Tuples (position, lcp) by key, first in first out within a key; the fullest keys go to disk beyond `budget` tuples."""
+    """Integers by key, first in first out within a key; the fullest keys go to disk beyond `budget` integers."""
 
-    def __init__(self, folder: str, name: str, budget: int = IN_MEMORY):
+    def __init__(self, folder: str, name: str, budget: int):
         self.base, self.budget, self.held = os.path.join(folder, name), budget, 0
         self.memory: dict[int, list[np.ndarray]] = {}
         self.size: dict[int, int] = {}
         self.disk: set[int] = set()
         self.spilled = 0
 
-    def push(self, key: int, tuples: np.ndarray) -> None:
-        if len(tuples):
-            self.memory.setdefault(key, []).append(tuples)
-            self.size[key] = self.size.get(key, 0) + len(tuples)
-            self.held += len(tuples)
+    def push(self, key: int, values: np.ndarray) -> None:
+        if len(values):
+            self.memory.setdefault(key, []).append(values)
+            self.size[key] = self.size.get(key, 0) + len(values)
+            self.held += len(values)
             while self.held > self.budget:
                 self._spill(max(self.size, key=self.size.get))
 
+    def push_sorted(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Values with ascending keys."""
+        if len(keys):
+            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
+            for a, b in itertools.pairwise(cuts):
+                self.push(int(keys[a]), values[a:b])
+
     def _spill(self, key: int) -> None:
         with open(f"{self.base}-{key}", "ab") as f:
             for part in self.memory.pop(key):
@@ -49,225 +66,443 @@ class DiskQueue:
         self.spilled += n
         self.disk.add(key)
 
-    def drain(self, key: int):
-        """Yields the key's tuples in order, at most CHUNK at once, and forgets them."""
-        while self.has(key):
+    def drain(self, key: int) -> Iterator[np.ndarray]:
+        """The key's integers in order, at most half a budget at once, until there are none, also of those pushed meanwhile."""
+        block = max(1, self.budget // 2)
+        while key in self.disk or key in self.memory:
             if key in self.disk:  # older than what is in memory
                 self.disk.discard(key)
                 path = f"{self.base}-{key}"
                 os.rename(path, path + ".out")
                 with open(path + ".out", "rb") as f:
-                    while block := f.read(16 * CHUNK):
-                        yield np.frombuffer(block, np.int64).reshape(-1, 2)
+                    while raw := f.read(8 * block):
+                        yield np.frombuffer(raw, np.int64)
                 os.remove(path + ".out")
                 continue
             parts = self.memory.pop(key)
             self.held -= self.size.pop(key)
-            for part in parts:
-                for a in range(0, len(part), CHUNK):
-                    yield part[a : a + CHUNK]
+            whole = np.concatenate(parts) if len(parts) > 1 else parts[0]
+            for a in range(0, len(whole), block):
+                yield whole[a : a + block]
 
-    def has(self, key: int) -> bool:
-        return key in self.disk or key in self.memory
+    def all_of(self, key: int) -> np.ndarray:
+        parts = list(self.drain(key))
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 class SuffixSorter:
-    """Sorts the suffixes of `text` (non-negative integers below `alphabet`, read in place); lcp values stop at `cap`."""
-
-    def __init__(self, text: np.ndarray, alphabet: int, cap: int = 1 << 30, folder: str | None = None, budget: int = IN_MEMORY):
-        self.text, self.k, self.cap, self.budget = text, alphabet, cap, budget
-        self.n = len(text)
-        self.folder = folder
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefixes of suffixes a and b, up to cap, character by character over those still equal."""
-        out = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        depth = 0
-        while len(live) and depth < self.cap:
-            x, y = a[live] + depth, b[live] + depth
-            ok = (x < self.n) & (y < self.n)
-            live, x, y = live[ok], x[ok], y[ok]
-            live = live[self.text[x] == self.text[y]]
-            depth += 1
-            out[live] = depth
+    """Sorts suffixes of texts of non-negative integers; lcp values stop at `cap`. `spilled` and `levels` tell what a sort took."""
+
+    def __init__(self, folder: str, cap: int, budget: int = IN_MEMORY):
+        assert cap < 255
+        self.folder, self.cap, self.budget, self.block = folder, cap, budget, max(1, budget // 2)
+        self.spilled = self.levels = 0
+        self.names = itertools.count()
+
+    def file(self, dtype, n: int) -> np.ndarray:
+        return np.asarray(np.memmap(os.path.join(self.folder, f"f{next(self.names)}"), dtype, "w+", shape=max(1, n)))[:n]
+
+    def queue(self) -> DiskQueue:
+        return DiskQueue(self.folder, f"q{next(self.names)}", self.budget)
+
+    def blocks(self, n: int) -> Iterator[tuple[int, int]]:
+        return ((a, min(n, a + self.block)) for a in range(0, n, self.block))
+
+    def sort(self, text: np.ndarray, k: int, level: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+        """Suffix positions in order and, at the first level, each one's common prefix with the one before. Characters are below k."""
+        self.levels = max(self.levels, level + 1)
+        n = len(text)
+        if n == 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        symbols, stars = self.symbols(text, k)
+        if len(stars) > 1:
+            stars = self.sorted_stars(symbols, stars, k, level)
+        return self.with_prefixes(text, symbols, k, stars) if level == 0 else (self.by_slabs(symbols, k, stars), None)
+
+    # Symbols are 1 + 2 * character + type, where S-type is 1.
+
+    def symbols(self, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The text's symbols, and its LMS positions; both in files."""
+        n = len(text)
+        out = self.file(np.int16 if 2 * k + 2 < 1 << 15 else np.int32 if 2 * k + 2 < 1 << 31 else np.int64, n)
+        carry, count = False, 0
+        for b in range(n, 0, -self.block):
+            a = max(0, b - self.block)
+            t = np.asarray(text[a : min(n, b + 1)], np.int64)
+            differs = np.flatnonzero(t[:-1] != t[1:])
+            rising = t[differs] < t[differs + 1]
+            kinds = np.repeat(np.append(rising, carry), np.diff(np.concatenate([[-1], differs, [b - a - 1]])))
+            out[a:b] = 1 + 2 * t[: b - a] + kinds
+            carry = bool(kinds[0])
+        found = []
+        path = os.path.join(self.folder, f"f{next(self.names)}")
+        with open(path, "wb") as f:
+            for a, b in self.blocks(n):
+                kind = (np.asarray(out[max(0, a - 1) : b]) - 1) & 1
+                found = np.flatnonzero((kind[1:] == 1) & (kind[:-1] == 0)).astype(np.int64) + max(0, a - 1) + 1
+                f.write(found.tobytes())
+                count += len(found)
+        return out, np.asarray(np.memmap(path, np.int64, "r", shape=count)) if count else np.zeros(0, np.int64)
+
+    # LMS substrings
+
+    def sorted_stars(self, symbols: np.ndarray, stars: np.ndarray, k: int, level: int) -> np.ndarray:
+        """LMS positions in the order of their suffixes."""
+        m, n = len(stars), len(symbols)
+        bits = int(2 * k + 1).bit_length()
+        width = 62 // bits
+
+        def words(which: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+            """The depth-th packed word of LMS substrings, and whether more follows."""
+            at = stars[which] + depth * width
+            end = np.where(which + 1 < m, stars[np.minimum(which + 1, m - 1)], n - 1)
+            out = np.zeros(len(which), np.int64)
+            for j in range(width):
+                ok = at + j <= end
+                out = (out << bits) | np.where(ok, symbols[np.minimum(at + j, n - 1)], 0)
+            return out, at + width <= end
+
+        def refined(which: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+            """`which` in order, and whether each is the same substring as the one before."""
+            which = which.copy()
+            head = np.zeros(len(which), bool)
+            head[:1] = True
+            live = np.arange(len(which))
+            while len(live):
+                group = np.cumsum(head)[live]
+                key, more = words(which[live], depth)
+                o = np.lexsort((key, group))
+                which[live] = which[live][o]
+                key, more = key[o], more[o]
+                head[live[1:]] |= (group[1:] == group[:-1]) & (key[1:] != key[:-1])
+                bounds = np.flatnonzero(np.append(head, True))
+                alone = np.diff(bounds) == 1
+                live = live[more & ~alone[np.cumsum(head)[live] - 1]]
+                depth += 1
+            return which, ~head
+
+        def in_order(which: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Blocks of star numbers in order of their substrings; those in `which` (perhaps a file) agree before `depth`."""
+            if len(which) <= 2 * self.block:
+                yield refined(np.asarray(which), depth)
+                return
+            sample, _ = words(np.asarray(which[:: max(1, len(which) // 4096)]), depth)
+            sample.sort()
+            bounds = np.unique(sample[np.linspace(0, len(sample) - 1, min(len(sample), 2 + 2 * len(which) // self.block)).astype(np.int64)])
+            # A word of a bound has a slab for itself, as it may be very frequent.
+            queue, sizes, unfinished = self.queue(), np.zeros(2 * len(bounds) + 1, np.int64), np.zeros(2 * len(bounds) + 1, bool)
+            for a, b in self.blocks(len(which)):
+                part = np.asarray(which[a:b])
+                key, more = words(part, depth)
+                slab = np.searchsorted(bounds, key) + np.searchsorted(bounds, key, "right")
+                sizes += np.bincount(slab, minlength=len(sizes))
+                unfinished[slab[more]] = True
+                o = np.argsort(slab, kind="stable")
+                queue.push_sorted(slab[o], part[o])
+            for slab in np.flatnonzero(sizes).tolist():
+                whole, at = self.file(np.int64, int(sizes[slab])), 0
+                for part in queue.drain(slab):
+                    whole[at : at + len(part)] = part
+                    at += len(part)
+                if slab % 2 == 0:
+                    yield from in_order(whole, depth)
+                elif unfinished[slab]:
+                    yield from in_order(whole, depth + 1)
+                else:
+                    for a, b in self.blocks(len(whole)):
+                        yield np.asarray(whole[a:b]), np.arange(a, b) > 0
+            self.spilled += queue.spilled
+
+        numbers = self.file(np.int64, m)
+        names = self.file(np.int64, m)
+        for a, b in self.blocks(m):
+            numbers[a:b] = np.arange(a, b)
+        order, at, name = self.file(np.int64, m), 0, -1
+        for which, same in in_order(numbers, 0):
+            own = name + np.cumsum(~same)
+            name = int(own[-1])
+            names[which] = own
+            order[at : at + len(which)] = which
+            at += len(which)
+        if name + 1 < m:
+            order, _ = self.sort(names, name + 1, level + 1)
+        out = self.file(np.int64, m)
+        for a, b in self.blocks(m):
+            out[a:b] = stars[order[a:b]]
+        return out
+
+    # Induction of a string of names, by slabs
+
+    def slabs(self, symbols: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """First names of the slabs (and k at the end), and the number of L-type suffixes before each."""
+        counts = self.file(np.int64, 2 * k + 2)
+        for a, b in self.blocks(len(symbols)):
+            u, c = np.unique(np.asarray(symbols[a:b]), return_counts=True)
+            counts[u] += c
+        starts, before, total, l_total, last = [], [], 0, 0, False
+        for a, b in self.blocks(k):
+            part = np.asarray(counts[1 + 2 * a : 1 + 2 * b]).reshape(-1, 2)
+            size = part.sum(1)
+            ends = total + np.cumsum(size)
+            heavy = size > self.block // 4
+            new = np.append(False, (ends[:-1] // self.block) != (np.append(total, ends[:-2]) // self.block)) | heavy | np.append(last, heavy[:-1])
+            new[0] |= a == 0
+            l_before = l_total + np.cumsum(part[:, 0]) - part[:, 0]
+            starts.append(np.flatnonzero(new) + a)
+            before.append(l_before[new])
+            total, l_total, last = int(ends[-1]), int(l_before[-1] + part[-1, 0]), bool(heavy[-1])
+        return np.concatenate([*starts, [k]]), np.concatenate([*before, [l_total]])
+
+    def by_slabs(self, symbols: np.ndarray, k: int, stars: np.ndarray) -> np.ndarray:
+        """All suffixes in order, induced from LMS suffixes given in order."""
+        n = len(symbols)
+        starts, l_before = self.slabs(symbols, k)
+        last = len(starts) - 1
+        star_ends = np.zeros(last + 1, np.int64)
+        slab_of = lambda char: np.searchsorted(starts, char, "right") - 1
+        for a, b in self.blocks(len(stars)):
+            star_ends[1:] += np.bincount(slab_of((symbols[stars[a:b]] - 1) >> 1), minlength=last)
+        star_ends = np.cumsum(star_ends)
+        l_type, out = self.file(np.int64, int(l_before[-1])), self.file(np.int64, n)
+
+        def children(pos: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Numbers of those whose predecessor has the wanted type, the predecessors and their characters."""
+            s = symbols[np.maximum(pos - 1, 0)].astype(np.int64) - 1
+            at = np.flatnonzero((pos > 0) & ((s & 1) == kind))
+            return at, pos[at] - 1, s[at] >> 1
+
+        def send(queue: DiskQueue, pos: np.ndarray, kind: int, but: int = -1) -> None:
+            _, before, char = children(pos, kind)
+            slab = slab_of(char)
+            if but >= 0:
+                before, slab = before[slab != but], slab[slab != but]
+            o = np.argsort(slab, kind="stable")
+            queue.push_sorted(slab[o], before[o])
+
+        queue = self.queue()
+        send(queue, np.array([n], np.int64), 0)
+        at = 0
+        for s in range(last):
+            mine = range(int(star_ends[s]), int(star_ends[s + 1]), self.block)
+            if starts[s + 1] - starts[s] == 1:
+                for pos in queue.drain(s):
+                    l_type[at : at + len(pos)] = pos
+                    at += len(pos)
+                    send(queue, pos, 0)
+                for a in mine:
+                    send(queue, np.asarray(stars[a : min(star_ends[s + 1], a + self.block)]), 0)
+            else:
+                pos, final = self.within(symbols, queue.all_of(s), np.asarray(stars[star_ends[s] : star_ends[s + 1]]), int(starts[s]), int(starts[s + 1]), children, 0)
+                own = pos[~final]
+                l_type[at : at + len(own)] = own
+                at += len(own)
+                send(queue, pos, 0, s)
+        self.spilled += queue.spilled
+        queue, end = self.queue(), n
+        for s in range(last - 1, -1, -1):
+            a, b = int(l_before[s]), int(l_before[s + 1])
+            if starts[s + 1] - starts[s] == 1:
+                for pos in itertools.chain(queue.drain(s), (l_type[max(a, x - self.block) : x][::-1] for x in range(b, a, -self.block))):
+                    out[end - len(pos) : end] = pos[::-1]
+                    end -= len(pos)
+                    send(queue, np.asarray(pos), 1)
+            else:
+                pos, _ = self.within(symbols, queue.all_of(s), np.asarray(l_type[a:b])[::-1], int(starts[s]), int(starts[s + 1]), children, 1)
+                out[end - len(pos) : end] = pos[::-1]
+                end -= len(pos)
+                send(queue, pos, 1, s)
+        self.spilled += queue.spilled
         return out
 
-    def types(self) -> np.ndarray:
-        """True for S-type positions; the end of the text is smaller than any character."""
-        t = self.text
-        differs = np.flatnonzero(t[:-1] != t[1:])
-        rising = t[differs] < t[differs + 1]
-        runs = np.diff(np.concatenate([[-1], differs, [self.n - 1]]))
-        return np.repeat(np.concatenate([rising, [False]]), runs)
-
-    def _pass(self, folder: str, name: str, stars: np.ndarray, star_lcp: np.ndarray, s_type: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Induces all suffixes from LMS suffixes given in order; returns positions and common prefixes in rank order."""
-        t, n = self.text, self.n
-        star_first = t[stars]
-        bounds = np.searchsorted(star_first, np.arange(self.k + 1))
-        queue = DiskQueue(folder, f"{name}-l", self.budget)
-        l_runs: dict[int, list[np.ndarray]] = {}
-        pending = np.zeros(self.k, np.int64)
-        seen = np.zeros(self.k, bool)
-
-        def induce(queue: DiskQueue, tuples: np.ndarray, wanted) -> None:
-            before = tuples[:, 0] - 1
-            ok = before >= 0
-            target = np.full(len(tuples), -1, np.int64)
-            target[ok] = t[before[ok]]
-            target[~wanted(before, target, ok)] = -1
-            lcp = np.append(tuples[:, 1], self.cap)
-            at = np.flatnonzero(target >= 0)
-            least = int(lcp.min())
-            order = at[np.argsort(target[at], kind="stable")]
-            keys, starts = np.unique(target[order], return_index=True)
-            last = {}
-            for key, group in zip(keys.tolist(), np.split(order, starts[1:]), strict=True) if len(keys) else ():
-                mins = np.minimum.reduceat(lcp, np.concatenate([[0], group + 1]))
-                own = np.minimum(mins[:-1] + 1, self.cap)
-                own[0] = min(min(int(pending[key]), int(mins[0])) + 1, self.cap) if seen[key] else 0
-                seen[key] = True
-                last[key] = int(mins[-1])
-                queue.push(key, np.column_stack([before[group], own]))
-            np.minimum(pending, least, out=pending)
-            for key, value in last.items():
-                pending[key] = value
-
-        def falling(before, target, ok):
-            # The predecessor is L-type: larger than the character at hand, or equal where that one is L-type.
-            return ok & ~s_type[np.maximum(before, 0)]
-
-        def rising(before, target, ok):
-            return ok & s_type[np.maximum(before, 0)]
-
-        # The last suffix follows the empty one, which is smaller than all.
-        first = int(t[n - 1])
-        queue.push(first, np.array([[n - 1, 0]], np.int64))
+    @staticmethod
+    def within(symbols: np.ndarray, first: np.ndarray, final: np.ndarray, lo: int, hi: int, children, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """A slab's suffixes in the order of the pass, and which of them are of `final`.
+
+        `first` were induced from other slabs, in order; `final` come last among those of their character. What these induce
+        within the slab stands between, in the order of its sources: a suffix compares by its character, then as its source
+        does. Chains of sources end in a suffix whose place is known, and are compared in steps of doubled length."""
+        edge = np.concatenate([first, final])
+        found, sources, chars = [edge], [np.arange(len(edge))], [(symbols[edge].astype(np.int64) - 1) >> 1]
+        number, total = sources[0], len(edge)
+        while True:
+            at, before, c = children(edge, kind)
+            own = (c >= lo) & (c < hi)
+            if not own.any():
+                break
+            found.append(before[own])
+            sources.append(number[at[own]])
+            chars.append(c[own])
+            edge = before[own]
+            number = np.arange(total, total + len(edge))
+            total += len(edge)
+        pos, source, char = np.concatenate(found), np.concatenate(sources), np.concatenate(chars)
+        side = hi - 1 - char if kind else char - lo
+        known = len(first) + len(final)
+        # By character, then: induced from elsewhere, induced here, final. Those induced here tie for now.
+        place = np.ones(total, np.int64)
+        place[: len(first)] = 0
+        place[len(first) : known] = 2
+        key = (3 * side + place) * (total + 1) + np.where(source == np.arange(total), np.arange(total), 0)
+        while True:
+            order = np.argsort(key, kind="stable")
+            new = np.append(False, np.diff(key[order]) != 0)
+            rank = np.empty(total, np.int64)
+            rank[order] = np.cumsum(new)
+            if total < 2 or new[1:].all():
+                return pos[order], place[order] == 2
+            key = rank * total + rank[source]
+            source = source[source]
+
+    # Induction at the first level, where tuples (8 * position bits, lcp) carry common prefixes
+
+    def with_prefixes(self, text: np.ndarray, symbols: np.ndarray, k: int, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, cap = len(text), self.cap
+        words = self.file(np.uint64, n)
+        for a, b in self.blocks(n):
+            t = np.zeros(b - a + 7, np.uint64)
+            part = np.asarray(text[a : min(n, b + 7)]).astype(np.uint64) + np.uint64(1)
+            t[: len(part)] = part
+            # Characters are below 255, so a character and one fit into a byte; zeros lie beyond the end.
+            words[a:b] = sum(t[j : j + b - a] << np.uint64(8 * j) for j in range(8))
+
+        def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.full(len(x), cap, np.int64)
+            live = np.arange(len(x))
+            for depth in range(0, cap, 8):
+                u, v = x[live] + depth, y[live] + depth
+                differ = np.where(u < n, words[np.minimum(u, n - 1)], np.uint64(0)) ^ np.where(v < n, words[np.minimum(v, n - 1)], np.uint64(1))
+                ended = differ != 0
+                low = differ[ended] & (~differ[ended] + np.uint64(1))
+                out[live[ended]] = np.minimum(cap, depth + (np.log2(low.astype(float)).astype(np.int64) >> 3))
+                live = live[~ended]
+                if not len(live):
+                    break
+            return out
+
+        pending, seen = np.zeros(k, np.int64), np.zeros(k, bool)
+
+        def send(queue: DiskQueue, pos: np.ndarray, lcp: np.ndarray, kind: int) -> None:
+            s = symbols[np.maximum(pos - 1, 0)] - 1
+            at = np.flatnonzero((pos > 0) & ((s & 1) == kind))
+            least = np.minimum.accumulate(lcp)
+            if len(at):
+                target = s[at] >> 1
+                o = np.argsort(target, kind="stable")
+                at, target = at[o], target[o]
+                new = np.concatenate([[True], target[1:] != target[:-1]])
+                own = np.empty(len(at), np.int64)
+                pair = np.flatnonzero(~new)
+                own[pair] = np.minimum(least_between(lcp, at[pair - 1] + 1, at[pair]) + 1, cap)
+                heads = np.flatnonzero(new)
+                keys = target[heads]
+                own[heads] = np.where(seen[keys], np.minimum(np.minimum(pending[keys], least[at[heads]]) + 1, cap), 0)
+                after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], cap)
+                seen[keys] = True
+                np.minimum(pending, int(least[-1]), out=pending)
+                pending[keys] = after[at[np.append(heads[1:], len(at)) - 1] + 1]
+                queue.push_sorted(target, (pos[at] - 1) << 8 | own)
+            else:
+                np.minimum(pending, int(least[-1]), out=pending)
+
+        bounds = np.zeros(k + 1, np.int64)
+        for a, b in self.blocks(len(stars)):
+            bounds[1:] += np.bincount((symbols[stars[a:b]] - 1) >> 1, minlength=k)
+        bounds = np.cumsum(bounds)
+        l_count = np.zeros(k + 1, np.int64)
+        for a, b in self.blocks(n):
+            s = np.asarray(symbols[a:b]) - 1
+            l_count[1:] += np.bincount(s[(s & 1) == 0] >> 1, minlength=k)
+        l_count = np.cumsum(l_count)
+        l_type = self.file(np.int64, int(l_count[-1]))
+
+        queue, at = self.queue(), 0
+        first = int(text[n - 1])
+        queue.push(first, np.array([(n - 1) << 8], np.int64))  # the last suffix follows the empty one
         seen[first] = True
-        for c in range(self.k):
+        for c in range(k):
             pending[:] = 0
             last = -1
-            while queue.has(c):
-                for tuples in queue.drain(c):
-                    l_runs.setdefault(c, []).append(tuples)
-                    last = int(tuples[-1, 0])
-                    induce(queue, tuples, falling)
-            a, b = bounds[c], bounds[c + 1]
-            for lo in range(a, b, CHUNK):
-                hi = min(b, lo + CHUNK)
-                own = star_lcp[lo:hi].copy()
-                if lo == a:
-                    own[0] = self.common(np.array([last]), stars[lo : lo + 1])[0] if last >= 0 else 0
-                induce(queue, np.column_stack([stars[lo:hi], own]), falling)
-
-        queue = DiskQueue(folder, f"{name}-s", self.budget)
+            for block in queue.drain(c):
+                l_type[at : at + len(block)] = block
+                at += len(block)
+                last = int(block[-1]) >> 8
+                send(queue, block >> 8, block & 255, 0)
+            for a in range(int(bounds[c]), int(bounds[c + 1]), self.block):
+                pos = np.asarray(stars[a : min(bounds[c + 1], a + self.block)])
+                before = np.append(stars[a - 1] if a > bounds[c] else last, pos[:-1])
+                lcp = common(np.maximum(before, 0), pos)
+                if before[0] < 0:
+                    lcp[0] = 0
+                send(queue, pos, lcp, 0)
+        self.spilled += queue.spilled
+
+        queue, end = self.queue(), n
         seen[:] = False
-        out_pos, out_lcp = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        end = n
-        for c in range(self.k - 1, -1, -1):
+        out_pos, out_lcp = self.file(np.int64, n), self.file(np.uint8, n)
+        for c in range(k - 1, -1, -1):
             pending[:] = 0
             last = -1
-            low = None  # lcp of the smallest so far with the one above it is known from above, so ranks are filled downwards
-
-            def place(tuples: np.ndarray) -> None:
-                # In descending order a tuple's lcp is that with the next larger suffix, which is stored there.
-                nonlocal end, low
-                m = len(tuples)
-                out_pos[end - m : end] = tuples[::-1, 0]
-                if low is not None:
-                    out_lcp[end] = tuples[0, 1]  # noqa: B023
-                out_lcp[end - m + 1 : end] = tuples[:0:-1, 1]
-                end -= m
-                low = end
-
-            while queue.has(c):
-                for tuples in queue.drain(c):
-                    place(tuples)
-                    last = int(tuples[-1, 0])
-                    induce(queue, tuples, rising)
-            runs = l_runs.pop(c, [])
-            for k in range(len(runs) - 1, -1, -1):
-                part = runs[k][::-1]
+
+            def place(pos: np.ndarray, lcp: np.ndarray) -> None:
+                # In descending order a tuple's lcp is that with the next larger suffix, which has it in the output.
+                nonlocal end
+                out_pos[end - len(pos) : end] = pos[::-1]
+                if end < n:
+                    out_lcp[end] = lcp[0]
+                out_lcp[end - len(pos) + 1 : end] = lcp[:0:-1]
+                end -= len(pos)
+
+            for block in queue.drain(c):
+                place(block >> 8, block & 255)
+                last = int(block[-1]) >> 8
+                send(queue, block >> 8, block & 255, 1)
+            a, b = int(l_count[c]), int(l_count[c + 1])
+            for y in range(b, a, -self.block):
+                x = max(a, y - self.block)
+                block = np.asarray(l_type[x:y])[::-1]
                 # Ascending tuples carry the lcp with the smaller neighbour; turned round, with the larger one.
-                above = np.empty(len(part), np.int64)
-                above[1:] = part[:-1, 1]
-                if k < len(runs) - 1:
-                    above[0] = runs[k + 1][0, 1]
+                lcp = np.empty(len(block), np.int64)
+                lcp[1:] = block[:-1] & 255
+                if y < b:
+                    lcp[0] = int(l_type[y]) & 255
                 else:
-                    above[0] = self.common(part[:1, 0], np.array([last]))[0] if last >= 0 else 0
-                part = np.column_stack([part[:, 0], above])
-                place(part)
-                induce(queue, part, rising)
+                    lcp[0] = common(block[:1] >> 8, np.array([last]))[0] if last >= 0 else 0
+                place(block >> 8, lcp)
+                send(queue, block >> 8, lcp, 1)
+        self.spilled += queue.spilled
         return out_pos, out_lcp
 
-    def sort(self) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix positions in order, and for each the common prefix with the one before."""
-        if self.n == 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.n == 1:
-            return np.zeros(1, np.int64), np.zeros(1, np.int64)
-        own = tempfile.mkdtemp(prefix="suffixes-", dir=self.folder)
-        try:
-            s_type = self.types()
-            is_star = s_type.copy()
-            is_star[0] = False
-            is_star[1:] &= ~s_type[:-1]
-            stars = np.flatnonzero(is_star)
-            if len(stars) > 1:
-                rough = stars[np.argsort(self.text[stars], kind="stable")]
-                order, _ = self._pass(own, "names", rough, np.zeros(len(rough), np.int64), s_type)
-                order = order[is_star[order]]
-                stars = self._sorted_stars(stars, order)
-            lcp = np.zeros(len(stars), np.int64)
-            if len(stars) > 1:
-                lcp[1:] = self.common(stars[:-1], stars[1:])
-            return self._pass(own, "final", stars, lcp, s_type)
-        finally:
-            shutil.rmtree(own, ignore_errors=True)
-
-    def _sorted_stars(self, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
-        """LMS suffixes in order, from LMS positions and their substrings' order."""
-        ends = np.append(stars[1:] + 1, self.n)
-        length = ends - stars
-        at = np.searchsorted(stars, order)
-        # Two substrings are equal if they are as long and have the same characters; the last one is like no other.
-        same = np.zeros(len(order), bool)
-        live = np.flatnonzero((length[at[1:]] == length[at[:-1]]) & (at[1:] != len(stars) - 1) & (at[:-1] != len(stars) - 1)) + 1
-        depth = 0
-        while len(live):
-            done = length[at[live]] <= depth
-            same[live[done]] = True
-            live = live[~done]
-            live = live[self.text[order[live] + depth] == self.text[order[live - 1] + depth]]
-            depth += 1
-        names = np.cumsum(~same) - 1
-        reduced = np.empty(len(stars), np.int64)
-        reduced[at] = names
-        top = int(names[-1]) + 1
-        if top == len(stars):
-            return order
-        if top <= SMALL_ALPHABET:
-            ranks, _ = SuffixSorter(reduced, top, cap=0, folder=self.folder, budget=self.budget).sort()
-            return stars[ranks]
-        return stars[doubled(reduced)]
-
-
-def doubled(text: np.ndarray) -> np.ndarray:
-    """Suffix positions in order, by rank doubling."""
-    n, rank, step = len(text), text.astype(np.int64), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        if new[order[-1]] == n - 1:
-            return order
-        rank, step = new, step * 2
-
-
-def suffix_array(text: np.ndarray, cap: int = 1 << 30, budget: int = IN_MEMORY, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and lcp array (up to `cap`) of a text of small non-negative integers."""
-    return SuffixSorter(text, int(text.max()) + 1 if len(text) else 1, cap, folder, budget).sort()
+
+def least_between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min(values[a..b]) for each pair, both ends included; values are below 256."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    length = b - a + 1
+    level = np.log2(length).astype(np.int64)
+    out = np.empty(len(a), np.int64)
+    table = values.astype(np.uint8)
+    for k in range(int(level.max()) + 1):
+        if k:
+            step = 1 << (k - 1)
+            table = np.minimum(table[:-step], table[step:])
+        mine = np.flatnonzero(level == k)
+        if len(mine):
+            out[mine] = np.minimum(table[a[mine]], table[b[mine] - (1 << k) + 1])
+    return out
+
+
+class sorted_suffixes:  # noqa: N801
+    """Context of (positions, lcp, sorter) of a text whose characters are below 255; both arrays lie in files that go at its end."""
+
+    def __init__(self, text: np.ndarray, cap: int, budget: int = IN_MEMORY, folder: str | None = None):
+        self.args = text, cap, budget
+        self.folder = tempfile.mkdtemp(prefix="suffixes-", dir=folder or scratch())
+
+    def __enter__(self) -> tuple[np.ndarray, np.ndarray, SuffixSorter]:
+        text, cap, budget = self.args
+        sorter = SuffixSorter(self.folder, cap, budget)
+        pos, lcp = sorter.sort(text, int(text.max()) + 1 if len(text) else 1)
+        return pos, lcp, sorter
+
+    def __exit__(self, *_) -> None:
+        shutil.rmtree(self.folder, ignore_errors=True)

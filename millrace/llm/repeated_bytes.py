@@ -1,17 +1,18 @@
 """Operator 9: removal of repeated 50-byte strings, by external induced sorting of shards of shared passages.
 
-A string of 50 bytes goes where it also starts in a document of smaller doc_id. Equal texts are settled first. Of
-every other text, each window of 50 bytes names the least 16-byte gram within it (its minimizer), which depends on the window
-alone; so only windows whose minimizer occurs in two texts can repeat. The stretches of text around such minimizers
-become segments; equal segments are merged, and segments of a minimizer that has several are dealt into shards by
-minimizer. A minimizer whose segments would fill a good part of a shard is hot: its windows are grouped one by one over their
-hash instead, so no shard grows with the number of texts that hold a common line. Each shard is suffix-sorted by external induced sorting (induced_sort.py); suffixes that share 50 bytes with their
-neighbour form groups, and the smallest document of a group owns its string. Documents then
-look up their segments and drop every byte of windows that an earlier document owns.
-
-Cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; ties can't occur between distinct
-doc_ids, and rows that repeat a doc_id are one document; other columns pass by; an empty table gives no rows;
-texts of any length are read whole, a megabyte at a time.
+A string of 50 bytes goes where it also starts in a document of smaller doc_id. Equal texts are settled first. The other texts
+are written once, in batches of about a megabyte. Each window of 50 bytes names the least hash among its 32-byte grams (its
+minimizer), which depends on the window alone; so only windows whose minimizer occurs in two texts can repeat. Which do is
+found from packed lists of minimizers, dealt by hash range; the answer is a bit for each minimizer of a batch. Runs of
+windows around a shared minimizer become segments; equal segments are merged, and segments of a minimizer that has
+several are dealt into shards by minimizer. Each shard is suffix-sorted by external induced sorting (induced_sort.py): suffixes
+that share 50 bytes with their neighbour form groups, and the smallest document of a group owns its string. A minimizer
+whose segments would fill a good part of a shard is hot: its windows are grouped one by one over a 128-bit hash instead, so
+no shard grows with the number of texts that hold a common line. Batches then drop every byte of windows that an earlier
+document owns. Tables are deleted when their last reader is done.
+
+Cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; rows that repeat a doc_id are judged each by
+its own text, against smaller doc_ids only; other columns pass by; an empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -21,157 +22,239 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .induced_sort import suffix_array
+from .common import cut, release, whole_groups
+from .induced_sort import IN_MEMORY, sorted_suffixes
 from .near_duplicates import mix
 
 LENGTH = 50
-GRAM = 16
+GRAM = 32
+#: Bytes of text in a batch (a longer text is one for itself), and windows handled at once.
+BATCH, BLOCK = 1 << 20, 1 << 16
+#: Windows of one segment at most; longer runs of one minimizer, which only periods have, are cut.
+LONGEST = 4096
 #: Bytes of segments in a shard.
-SHARD = 2_000_000
+SHARD = 4_000_000
 #: Bytes of segments beyond which a minimizer is hot.
 HOT = 250_000
 #: A window in at least so many segments of hot minimizers, or a HOT_SHARE-th of all their windows, is looked up apart from the others.
 HOT_WINDOW, HOT_SHARE = 10_000, 100_000
-#: A filter side of at most so many rows is broadcast; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 400_000
-#: Bytes of text handled at once.
-BLOCK = 1 << 20
+#: A filter side of at most so many rows is broadcast; a longer one is joined by a shuffle. Likewise bytes of the minimizers' bits.
+BROADCAST_ROWS, BROADCAST_BITS = 400_000, 16_000_000
+#: Batches whose minimizers fill one bucket (about 100,000 each).
+BATCHES_IN_BUCKET = 16
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+LISTS = "batch long, ids array<long>, sizes array<int>, body binary"
 
 
-def minimizers(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(at, value): for each window of `length` bytes the place of its least gram (the leftmost of equals), and the gram's hash."""
+def minimizers(text: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """For each window of `length` bytes the least hash among its grams."""
     n = len(text)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = text.astype(np.uint64) + np.uint64(1)
-    step, base = 1, 0x9E3779B97F4A7C15
-    with np.errstate(over="ignore"):
+        return np.zeros(0, np.uint64)
+    out = np.empty(n - length + 1, np.uint64)
+    base, width = 0x9E3779B97F4A7C15, length - gram + 1
+    for a in range(0, len(out), BLOCK):
+        b = min(len(out), a + BLOCK)
+        h = text[a : b + length - 1].astype(np.uint64) + np.uint64(1)
+        step = 1
         while step < gram:  # gram is a power of two
             h = h[:-step] * np.uint64(pow(base, step, 1 << 64)) + h[step:]
             step *= 2
-    h = mix(h)
-    width = length - gram + 1
-    at = np.arange(len(h))
-    best, span = h, 1
-
-    def least(shift: int) -> None:
-        nonlocal best, at
-        other, here = best[shift:], best[: len(best) - shift]
-        take = other < here
-        at = np.where(take, at[shift:], at[: len(at) - shift])
-        best = np.where(take, other, here)
-
-    while span * 2 <= width:
-        least(span)
-        span *= 2
-    if span < width:
-        least(width - span)
-    return at, best
-
-
-def blocks(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first window, at, value) for stretches of windows; `at` counts from the text's start."""
-    raw = np.frombuffer(text, np.uint8)
-    for a in range(0, max(0, len(raw) - length + 1), BLOCK):
-        at, value = minimizers(raw[a : a + BLOCK + length - 1], length)
-        yield a, at + a, value
-
-
-def segments(text: bytes, shared: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """(first window, last window, minimizer) for each maximal run of windows with one minimizer place, where `shared` (sorted) holds its value."""
-    held: tuple[int, int, int, int] | None = None  # place, first, last, value
-    for a, at, value in blocks(text, length):
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-        values = value[cuts[:-1]].view(np.int64)
-        k = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
-        ok = shared[k] == values if len(shared) else np.zeros(len(values), bool)
-        # The first run may go on from the block before, the last one into the next.
-        for i in np.unique(np.concatenate([np.flatnonzero(ok), [0]])):
-            place, lo, hi = int(at[cuts[i]]), a + int(cuts[i]), a + int(cuts[i + 1]) - 1
-            if held and held[0] == place:
-                held = (place, held[1], hi, held[3])
-                continue
-            if held:
-                yield held[1], held[2], held[3]
-            held = (place, lo, hi, int(values[i])) if ok[i] else None
-    if held:
-        yield held[1], held[2], held[3]
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+        best, span = mix(h), 1
+        while span * 2 <= width:
+            best = np.minimum(best[:-span], best[span:])
+            span *= 2
+        if span < width:
+            best = np.minimum(best[: span - width], best[width - span :])
+        out[a:b] = best
+    return out
+
+
+def runs_of(body: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, windows, document, value) of each run of windows with one minimizer, over texts that stand one after another."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    value = minimizers(body)
+    stops = np.maximum(starts, ends - LENGTH + 1)
+    at = np.unique(np.concatenate([np.flatnonzero(value[1:] != value[:-1]) + 1, starts, stops]))
+    document = np.searchsorted(starts, at, "right") - 1
+    windows = np.diff(np.append(at, len(body)))
+    ok = at < stops[document]
+    at, document, windows = at[ok], document[ok], windows[ok]
+    if len(windows) and windows.max() > LONGEST:
+        parts = -(-windows // LONGEST)
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        at, document, whole = np.repeat(at, parts) + LONGEST * within, np.repeat(document, parts), np.repeat(windows, parts)
+        windows = np.minimum(LONGEST, whole - LONGEST * within)
+    return at, windows, document, value[at]
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """`df` to be broadcast if it has at most `rows` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
-def emit_minimizers(docs: DataFrame) -> DataFrame:
-    """(value, doc_id), one row for each distinct minimizer of a document."""
+def batched(docs: DataFrame) -> DataFrame:
+    """Texts of `docs` (doc_id, text) in batches: batch, ids, sizes (bytes), body."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids: list[int] = []
+        bodies: list[bytes] = []
+        held = 0
+
+        def whole() -> pa.RecordBatch:
+            nonlocal number, held
+            sizes = [len(b) for b in bodies]
+            out = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([b"".join(bodies)], pa.binary())], ["batch", "ids", "sizes", "body"])
+            ids.clear()
+            bodies.clear()
+            number, held = number + 1, 0
+            return out
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                ids, values = [], []
-                for doc_id, text in zip(batch.column(0).slice(lo, 200).to_pylist(), batch.column(1).slice(lo, 200), strict=True):
-                    found = [v[np.concatenate([[True], v[1:] != v[:-1]])] for _, _, v in blocks((text.as_py() or "").encode())]
-                    if found:
-                        found = np.unique(np.concatenate(found))
-                        values.append(found)
-                        ids.append(np.full(len(found), doc_id, np.int64))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(ids))], ["value", "doc_id"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_py().encode()
+                if ids and (held + len(raw) > BATCH or len(ids) >= 1 << 16):
+                    yield whole()
+                ids.append(doc_id)
+                bodies.append(raw)
+                held += len(raw)
+        if ids:
+            yield whole()
+
+    return docs.select("doc_id", "text").mapInArrow(run, LISTS)
+
+
+def opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, sizes and body of a row of LISTS."""
+    of = lambda name: batch.column(batch.schema.get_field_index(name))[row]
+    return of("ids").values.to_numpy(), of("sizes").values.to_numpy().astype(np.int64), np.frombuffer(of("body").as_buffer(), np.uint8)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "value long, doc_id long")
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def emit_segments(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """From (doc_id, text, shared): the segments of a document, as (value, id1, id2, doc_id, first, windows) and their bytes."""
-    schema = "value long, id1 long, id2 long, doc_id long, first long, windows int" + (", bytes binary" if with_bytes else "")
+def minimizer_lists(lists: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, batch, low, high, several): a batch's distinct minimizers by hash range, 48 bits each, and whether two of its documents have one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, sizes, body = opened(batch, row)
+                _, _, document, value = runs_of(body, sizes)
+                if not len(value):
+                    continue
+                o = np.argsort(value, kind="stable")
+                value, document = value[o], document[o]
+                head = np.concatenate([[True], value[1:] != value[:-1]])
+                first = np.flatnonzero(head)
+                several = document[first] != document[np.append(first[1:], len(value)) - 1]
+                value = value[first]
+                cuts = np.searchsorted(bucket_of(value, buckets), np.arange(buckets + 1))
+                held = np.flatnonzero(np.diff(cuts))
+                low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint16)
+                parts = [[x[cuts[k] : cuts[k + 1]] for k in held] for x in (low, high, several)]
+                number = batch.column(0)[row].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held.astype(np.int32)), pa.array(np.full(len(held), number)), *(pa.array([x.tobytes() for x in p], pa.binary()) for p in parts)], ["bucket", "batch", "low", "high", "several"]
+                )
+
+    return lists.mapInArrow(run, "bucket int, batch long, low binary, high binary, several binary")
+
+
+def shared_bits(found: DataFrame, buckets: int) -> DataFrame:
+    """(batch, bucket, bits): for each of a batch's minimizers in the bucket, whether another document has it too."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "bucket"):
+            keys = group.column("bucket").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part = group.slice(lo, hi - lo)
+                of = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in part.column(name)]  # noqa: E731,B023
+                values = [a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32) for a, b in zip(of("low", np.uint32), of("high", np.uint16), strict=True)]
+                every = np.concatenate(values)
+                several = np.concatenate(of("several", bool))
+                ordered = np.sort(every)
+                shared = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], every[several]]))
+                flags = shared[np.minimum(np.searchsorted(shared, every), len(shared) - 1)] == every if len(shared) else np.zeros(len(every), bool)
+                bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum([len(v) for v in values])[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column("batch").combine_chunks(), part.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], ["batch", "bucket", "bits"])
+
+    return found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "batch long, bucket int, bits binary")
+
+
+def segments_of(lists: DataFrame, buckets: int) -> DataFrame:
+    """From LISTS with `known` (bucket, bits): one row for each distinct segment of a batch.
+
+    batch, value, id1, id2 (hash of the bytes), lo, hi (least and greatest doc_id), windows, firsts (where it starts), bytes."""
+    names = ["batch", "value", "id1", "id2", "lo", "hi", "windows", "firsts", "bytes"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                rows: list[list] = [[] for _ in range(7 if with_bytes else 6)]
-                for doc_id, text, shared in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
-                    raw = (text.as_py() or "").encode()
-                    for a, b, value in segments(raw, np.sort(np.asarray(shared.as_py(), np.int64))):
-                        seg = raw[a : b + LENGTH]
-                        both = hashlib.blake2b(seg, digest_size=16).digest()
-                        row = (value, int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True), doc_id, a, b - a + 1, seg)
-                        for column, x in zip(rows, row, strict=False):
-                            column.append(x)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=False)], ["value", "id1", "id2", "doc_id", "first", "windows", "bytes"][: len(rows)])
-
-    return docs.select("doc_id", "text", "shared").mapInArrow(run, schema)
-
-
-def owners(segments_: list[bytes], documents: np.ndarray) -> list[np.ndarray]:
+            for row in range(batch.num_rows):
+                ids, sizes, body = opened(batch, row)
+                at, windows, document, value = runs_of(body, sizes)
+                distinct, of = np.unique(value, return_inverse=True)
+                counts = np.bincount(bucket_of(distinct, buckets), minlength=buckets)
+                known = batch.column(batch.schema.get_field_index("known"))[row].as_py()
+                shared = np.concatenate([np.unpackbits(np.frombuffer(k["bits"], np.uint8), count=counts[k["bucket"]]) for k in sorted(known, key=lambda k: k["bucket"])]).astype(bool)
+                keep = shared[of]
+                at, windows, value, doc = at[keep], windows[keep], value[keep], ids[document[keep]]
+                if not len(at):
+                    continue
+                raw = body.tobytes()
+                pieces = [raw[a:b] for a, b in zip(at.tolist(), (at + windows + LENGTH - 1).tolist(), strict=True)]
+                blake = hashlib.blake2b
+                both = np.frombuffer(b"".join([blake(p, digest_size=16).digest() for p in pieces]), np.int64).reshape(-1, 2)
+                o = np.lexsort((both[:, 1], both[:, 0]))
+                s = both[o]
+                head = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]).any(1)]))
+                of_head = o[head]
+                lo, hi = np.minimum.reduceat(doc[o], head), np.maximum.reduceat(doc[o], head)
+                firsts = pa.ListArray.from_arrays(pa.array(np.append(head, len(o)).astype(np.int32)), pa.array(at[o].astype(np.int32)))
+                columns = [np.full(len(head), batch.column(0)[row].as_py()), value[of_head].view(np.int64), s[head, 0], s[head, 1], lo, hi, windows[of_head].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), firsts, pa.array([pieces[k] for k in of_head.tolist()], pa.binary())], names)
+
+    return lists.mapInArrow(run, "batch long, value long, id1 long, id2 long, lo long, hi long, windows int, firsts array<int>, bytes binary")
+
+
+def owners(segments_: list[bytes], documents: np.ndarray, budget: int = IN_MEMORY) -> list[np.ndarray]:
     """Per segment, for each of its windows the smallest document in which its string starts."""
     sizes = np.array([len(s) for s in segments_])
-    text = np.frombuffer(b"".join(s + b"\0" for s in segments_), np.uint8).astype(np.int16) + 1
+    # UTF-8 has no byte above 0xF4, so one more fits; 0 ends a segment.
+    text = np.frombuffer(b"\0".join(segments_) + b"\0", np.uint8) + np.uint8(1)
     ends = np.cumsum(sizes + 1)
     text[ends - 1] = 0
-    sa, lcp = suffix_array(text, cap=LENGTH)
-    which = np.searchsorted(ends, sa, "right")
-    usable = sa + LENGTH <= ends[which] - 1
-    sa, lcp, which = sa, lcp, which
-    group = np.cumsum(lcp < LENGTH) - 1
-    keep = np.flatnonzero(usable)
-    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group[keep], documents[which[keep]])
     owner = np.zeros(len(text), np.int64)
-    owner[sa[keep]] = least[group[keep]]
+    with sorted_suffixes(text, LENGTH, budget) as (sa, lcp, _):
+        a = 0
+        while a < len(sa):
+            b = min(len(sa), a + budget)
+            while b < len(sa) and lcp[b] >= LENGTH:  # a group is not cut
+                more = np.flatnonzero(lcp[b : b + budget] < LENGTH)
+                b = b + int(more[0]) if len(more) else min(len(sa), b + budget)
+            pos = sa[a:b]
+            which = np.searchsorted(ends, pos, "right")
+            group = np.cumsum(lcp[a:b] < LENGTH)
+            ok = pos + LENGTH <= ends[which] - 1
+            pos, which, group = pos[ok], which[ok], group[ok]
+            if len(pos):
+                head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                owner[pos] = np.repeat(np.minimum.reduceat(documents[which], head), np.diff(np.append(head, len(pos))))
+            a = b
     starts = ends - sizes - 1
-    return [owner[a : a + n - LENGTH + 1] for a, n in zip(starts, sizes, strict=True)]
+    return [owner[a : a + n - LENGTH + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def shard_owners(distinct: DataFrame) -> DataFrame:
-    """From distinct segments (value, id1, id2, doc, bytes): (id1, id2, owner array); one shard for each partition."""
+    """From distinct segments (value, id1, id2, doc, bytes): (id1, id2, owner array) where a window has another owner than doc; shards of about SHARD bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -180,9 +263,12 @@ def shard_owners(distinct: DataFrame) -> DataFrame:
 
         def solve() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks()
-            found = owners([x.as_py() for x in whole.column("bytes")], whole.column("doc").to_numpy())
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)), pa.array(np.concatenate(found)))
-            return pa.RecordBatch.from_arrays([whole.column("id1").combine_chunks(), whole.column("id2").combine_chunks(), flat], ["id1", "id2", "owner"])
+            doc = whole.column("doc").to_numpy()
+            found = owners([x.as_py() for x in whole.column("bytes")], doc)
+            keep = np.array([k for k, f in enumerate(found) if (f < doc[k]).any()], np.int64)
+            flat = np.concatenate([found[k] for k in keep]) if len(keep) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(found[k]) for k in keep])]).astype(np.int32)), pa.array(flat))
+            return pa.RecordBatch.from_arrays([pa.array(whole.column(c).to_numpy()[keep]) for c in ("id1", "id2")] + [lists], ["id1", "id2", "owner"])
 
         # Rows come sorted by minimizer: a shard may end between two minimizers once it is full.
         for batch in batches:
@@ -238,73 +324,96 @@ def hot_owners(hot: DataFrame) -> DataFrame:
     rest = found.where(F.col("top").isNull()).join(least.where(F.col("n") < limit).select("w1", "w2", "least"), ["w1", "w2"], "left")
     every = settled.unionByName(rest.select("id1", "id2", "k", F.coalesce("least", "doc").alias("owner")))
     owner = F.transform(F.array_sort(F.collect_list(F.struct("k", "owner"))), lambda x: x["owner"])
-    return every.groupBy("id1", "id2").agg(owner.alias("owner"))
+    out = cut(every.groupBy("id1", "id2").agg(owner.alias("owner")), "hot-owners")
+    release(windows, least)
+    return out
+
+
+def removed(lists: DataFrame) -> DataFrame:
+    """From LISTS with `gone` (rows windows, firsts, doc, owner; or null): doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, sizes, body = opened(batch, row)
+                ends = np.cumsum(sizes)
+                starts = ends - sizes
+                delta = np.zeros(len(body) + 1, np.int64)
+                gone = batch.column(batch.schema.get_field_index("gone"))[row]
+                if gone.is_valid:
+                    rows = gone.values
+                    windows, firsts, doc, owner = (rows.field(k) for k in range(4))
+                    windows, doc = windows.to_numpy().astype(np.int64), doc.to_numpy()
+                    # An owner for each window of each row; where none is listed, it is doc.
+                    of = np.repeat(np.arange(len(windows)), windows)
+                    who = doc[of]
+                    listed = owner.is_valid().to_numpy(zero_copy_only=False)
+                    who[listed[of]] = owner.flatten().to_numpy()
+                    k = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+                    at = firsts.flatten().to_numpy().astype(np.int64)
+                    many = np.diff(firsts.offsets.to_numpy())
+                    # Each place of a row takes all windows of the row.
+                    row_of = np.repeat(np.arange(len(windows)), many)
+                    size = windows[row_of]
+                    base = np.cumsum(windows) - windows
+                    pick = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    entry = np.repeat(base[row_of], size) + pick
+                    start = np.repeat(at, size) + k[entry]
+                    mine = ids[np.searchsorted(starts, np.repeat(at, size), "right") - 1]
+                    start = start[who[entry] < mine]
+                    delta = np.bincount(start, minlength=len(delta)) - np.bincount(start + LENGTH, minlength=len(delta))
+                mask = np.cumsum(delta[:-1]) > 0
+                total = np.concatenate([[0], np.cumsum(mask)])
+                n_removed = total[ends] - total[starts]
+                rise = mask.copy()
+                rise[1:] &= ~mask[:-1]
+                full = np.flatnonzero(sizes > 0)
+                rise[starts[full]] = mask[starts[full]]
+                rises = np.concatenate([[0], np.cumsum(rise)])
+                raw = memoryview(body)
+                sha = [hashlib.sha256(raw[a:b] if not n else body[a:b][~mask[a:b]].tobytes()).hexdigest() for a, b, n in zip(starts.tolist(), ends.tolist(), n_removed.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(n_removed), pa.array(rises[ends] - rises[starts]), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return lists.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removal(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    facts = cut(docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "facts")
-    copies = cut(facts.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").drop("top"), "copies")
-    copied = cut(facts.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).where("doc_id > rep").select("doc_id").distinct(), "copied")
-    own = docs.join(small(copied), "doc_id", "left_anti")
-
-    found = emit_minimizers(own)
-    shared = cut(found.groupBy("value").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("value"), "shared")
-    by_doc = cut(emit_minimizers(own).join(small(shared), "value").groupBy("doc_id").agg(F.collect_set("value").alias("shared")), "by-doc")
-    texts = cut(own.join(small(by_doc.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(by_doc, "doc_id").select("doc_id", "text", "shared"), "texts")
-
-    distinct = emit_segments(texts, True).groupBy("value", "id1", "id2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.first("bytes").alias("bytes"))
-    distinct = cut(distinct, "segments")
-    several = cut(distinct.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bytes")).alias("size")).where("n > 1").select("value", "size"), "several")
-    hot = several.where(F.col("size") > HOT).select("value")
-    cold = several.where(F.col("size") <= HOT)
-    parts = max(1, int(cold.agg(F.sum("size")).first()[0] or 0) // SHARD + 1)
-    some_hot = not hot.isEmpty()
-    others = distinct.join(small(hot), "value", "left_anti") if some_hot else distinct
-    dealt = others.join(cold.select("value"), "value", "left_semi").repartition(max(parts, 12), "value").sortWithinPartitions("value")
-    owner = cut(shard_owners(dealt), "owners")
-    if some_hot:
-        owner = owner.unionByName(cut(hot_owners(distinct.join(small(hot), "value", "left_semi")), "hot-owners"))
-    # Segments that lie alone on their minimizer have one owner for all windows.
-    table = distinct.select("id1", "id2", "doc", "last").join(owner, ["id1", "id2"], "left")
-    table = cut(table.where(F.col("owner").isNotNull() | (F.col("doc") < F.col("last"))).select("id1", "id2", "doc", "owner"), "table")
-
-    places = emit_segments(texts, False).select("id1", "id2", "doc_id", "first", "windows").join(table, ["id1", "id2"])
-    gone = F.when(F.col("owner").isNull(), F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda k: F.col("doc"))).otherwise(F.col("owner"))
-    # Windows to remove, as runs (first, last) within the segment: a run starts where the window before stays.
-    flags = F.transform(gone, lambda o: o < F.col("doc_id"))
-    places = places.select("doc_id", "first", flags.alias("flags"))
-    starts = F.filter(F.transform("flags", lambda x, k: F.when(x & ~F.coalesce(F.get("flags", k - 1), F.lit(False)), k)), lambda k: k.isNotNull())
-    stops = F.filter(F.transform("flags", lambda x, k: F.when(x & ~F.coalesce(F.get("flags", k + 1), F.lit(False)), k)), lambda k: k.isNotNull())
-    runs = places.where(F.exists("flags", lambda x: x)).select("doc_id", F.explode(F.arrays_zip(F.transform(starts, lambda k: k + F.col("first")).alias("a"), F.transform(stops, lambda k: k + F.col("first") + LENGTH).alias("b"))).alias("r"))
-    cuts = cut(runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("r")["a"].alias("a"), F.col("r")["b"].alias("b")))).alias("runs")), "cuts")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, spans, sha = [], [], []
-            for text, runs in zip(batch.column(1), batch.column(2), strict=True):
-                raw = (text.as_py() or "").encode()
-                digest, at, n, k = hashlib.sha256(), 0, 0, 0
-                for r in runs.as_py():
-                    a, b = r["a"], r["b"]
-                    if k == 0 or a > at:
-                        digest.update(raw[at:a])
-                        k += 1
-                        n += b - a
-                        at = b
-                    elif b > at:
-                        n += b - at
-                        at = b
-                digest.update(raw[at:])
-                removed.append(n)
-                spans.append(k)
-                sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["_id", "removed", "spans", "cut_sha"])
-
-    changed = texts.join(cuts, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "_id long, removed long, spans long, cut_sha string")
-    wiped = facts.join(copied, "doc_id", "left_semi").where(F.col("n_bytes") >= LENGTH).select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(EMPTY_SHA).alias("cut_sha"))
-    result = cut(changed.unionByName(wiped.distinct()), "changed")
-    out = facts.join(result, F.col("doc_id") == F.col("_id"), "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    copies = docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top")
+    copies = small(cut(copies.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "rep"), "copies"))
+    copied = (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("doc_id") > F.col("rep"))
+    lists = cut(batched(docs.join(copies, copied, "left_anti")), "batches", "zstd")
+
+    buckets = max(1, lists.count() // BATCHES_IN_BUCKET)
+    bits = cut(shared_bits(minimizer_lists(lists, buckets), buckets), "bits")
+    known = bits.groupBy(F.col("batch").alias("_batch")).agg(F.collect_list(F.struct("bucket", "bits")).alias("known"))
+    if int(bits.agg(F.sum(F.length("bits"))).first()[0] or 0) <= BROADCAST_BITS:
+        known = F.broadcast(known)
+    segments = cut(segments_of(lists.join(known, F.col("batch") == F.col("_batch")).drop("_batch"), buckets), "segments", "zstd")
+    release(bits)
+
+    # One batch carries the bytes of a segment for all others.
+    distinct = segments.groupBy("value", "id1", "id2").agg(F.min("lo").alias("doc"), F.max("hi").alias("last"), F.min("batch").alias("carrier"), F.first("windows").alias("windows"))
+    distinct = cut(distinct, "distinct")
+    several = cut(distinct.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("windows") + LENGTH - 1).alias("size")).where("n > 1").select("value", "size"), "several")
+    size = int(several.where(F.col("size") <= HOT).agg(F.sum("size")).first()[0] or 0)
+    wanted = distinct.join(small(several), "value").select("value", "id1", "id2", "doc", F.col("carrier").alias("batch"), (F.col("size") > HOT).alias("hot"))
+    carried = cut(wanted.join(segments.select("batch", "id1", "id2", "bytes"), ["batch", "id1", "id2"]).select("value", "id1", "id2", "doc", "hot", "bytes"), "carried", "zstd")
+    parts = max(12, size // SHARD + 1)
+    owner = cut(shard_owners(carried.where(~F.col("hot")).repartition(parts, "value").sortWithinPartitions("value")), "owners")
+    hot = carried.where("hot")
+    every = owner if hot.isEmpty() else owner.unionByName(hot_owners(hot))
+    # Without a listed owner, a segment's windows belong to its least document.
+    table = distinct.select("id1", "id2", "doc", "last").join(every, ["id1", "id2"], "left").where(F.col("owner").isNotNull() | (F.col("doc") < F.col("last")))
+    places = segments.select("batch", "id1", "id2", "windows", "firsts", "hi").join(table, ["id1", "id2"]).where(F.col("owner").isNotNull() | (F.col("doc") < F.col("hi")))
+    gone = cut(places.groupBy(F.col("batch").alias("_batch")).agg(F.collect_list(F.struct("windows", "firsts", "doc", "owner")).alias("gone")), "gone")
+    release(segments, distinct, several, carried, owner)
+
+    own = removed(lists.join(gone, F.col("batch") == F.col("_batch"), "left").select("batch", "ids", "sizes", "body", "gone"))
+    n = F.octet_length("text").cast("long")
+    wiped = n >= LENGTH
+    rest = docs.join(copies, copied).select("doc_id", n.alias("n_bytes"), F.when(wiped, n).otherwise(0).alias("n_removed"), F.when(wiped, 1).otherwise(0).cast("long").alias("n_spans"), F.when(wiped, F.lit(EMPTY_SHA)).otherwise(F.sha2("text", 256)).alias("kept_sha256"))
+    return own.unionByName(rest)

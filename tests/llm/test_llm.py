@@ -387,29 +387,61 @@ def test_hot_minimizers(spark, monkeypatch):
     assert most and most[0] <= 500
 
 
-def test_blocks_join_up(monkeypatch):
+def test_runs_of_windows(monkeypatch):
+    """Runs cover each window once, whatever blocks are, and a window's minimizer does not depend on where it stands."""
     r = random.Random(9)
-    text = sentence(r, 300).encode()
-    every = np.sort(np.unique(np.concatenate([v for _, _, v in repeated_bytes.blocks(text)])).view(np.int64))
-    whole = list(repeated_bytes.segments(text, every))
+    texts = [sentence(r, 80).encode(), b"", b"short", b"x" * 9000, sentence(r, 40).encode() * 2]
+    body, sizes = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    found = repeated_bytes.runs_of(body, sizes)
     monkeypatch.setattr(repeated_bytes, "BLOCK", 97)
-    assert list(repeated_bytes.segments(text, every)) == whole
-    assert [a for a, _, _ in whole] == [0, *(b + 1 for _, b, _ in whole[:-1])]
+    assert all((a == b).all() for a, b in zip(found, repeated_bytes.runs_of(body, sizes), strict=True))
+    at, windows, document, value = found
+    assert windows.max() <= repeated_bytes.LONGEST and np.bincount(document, windows, 5).astype(int).tolist() == [max(0, len(t) - 49) for t in texts]
+    for a, n, v in zip(at.tolist(), windows.tolist(), value.tolist(), strict=True):
+        assert (repeated_bytes.minimizers(body[a : a + n + 49]) == v).all()
 
 
-def test_suffix_sorting(monkeypatch):
+def test_one_doc_id_with_two_texts(spark):
+    """Each row is judged by its own text against smaller doc_ids; a doc_id is not smaller than itself."""
+    r = random.Random(12)
+    line, other = sentence(r, 20), sentence(r, 20)
+    rows = [(1, line + " a"), (1, "b " + line), (2, "c " + line), (2, other), (3, other), (3, other), (3, None)]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed) for x in repeated_bytes.removal(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    size, shared = len(line), len(line) + 1
+    assert got == sorted([(1, size + 2, 0), (1, size + 2, 0), (2, size + 2, shared + 0), (2, len(other), 0), (3, len(other), len(other)), (3, len(other), len(other)), (3, 0, 0)])
+
+
+def test_suffix_sorting():
+    """Against plain sorting, for all alphabets, with queues and slabs of a few tuples up to more than the text."""
     r = random.Random(1)
-    for _ in range(600):
-        n, k = r.randint(1, 40), r.choice([1, 2, 3, 5])
-        t = np.array([r.randrange(k) for _ in range(n)], np.int64)
-        monkeypatch.setattr(induced_sort, "CHUNK", r.choice([1, 2, 7, 1 << 18]))
-        monkeypatch.setattr(induced_sort, "SMALL_ALPHABET", r.choice([1, 1024]))
-        sa, lcp = induced_sort.suffix_array(t, budget=r.choice([1, 5, 1 << 20]))
-        s = [t[i:].tolist() for i in range(n)]
-        want = sorted(range(n), key=lambda i: s[i])
-        assert sa.tolist() == want
-        for i in range(1, n):
-            assert lcp[i] == next((d for d, (x, y) in enumerate(zip(s[want[i - 1]], s[want[i]])) if x != y), min(len(s[want[i - 1]]), len(s[want[i]])))
+    for k in range(700):
+        n, chars = r.randint(0, 60) if k % 7 else r.randint(200, 600), r.choice([1, 2, 3, 5, 200])
+        t = [r.randrange(chars) for _ in range(n)]
+        if k % 3 == 0 and n:
+            t = (t[: r.randint(1, 9)] * n)[:n]
+        b = bytes(t)
+        with induced_sort.sorted_suffixes(np.asarray(t, np.uint8), 50, r.choice([2, 4, 16, 64, 1 << 18])) as (sa, lcp, _):
+            want = sorted(range(n), key=lambda i: b[i:])
+            assert sa.tolist() == want
+            for i in range(1, n):
+                x, y = b[want[i - 1] :], b[want[i] :]
+                assert lcp[i] == next((d for d, (p, q) in enumerate(zip(x, y, strict=False)) if p != q or d == 50), min(len(x), len(y), 50))
+
+
+def test_suffix_sorting_recurses_on_disk():
+    """A text far larger than the memory of the queues: several levels, tuples on disk, and the same owners as with all in memory."""
+    r = random.Random(2)
+    passage = sentence(r, 400)
+    parts = [sentence(r, 30) + " " + passage[k : k + 400] for k in range(0, 1600, 40)]
+    text = np.frombuffer("\n".join(parts).encode(), np.uint8)
+    with induced_sort.sorted_suffixes(text, 50, 256) as (sa, lcp, sorter):
+        assert sorter.levels >= 3 and sorter.spilled > len(text)
+        small = sa.copy(), lcp.copy()
+    with induced_sort.sorted_suffixes(text, 50) as (sa, lcp, sorter):
+        assert sorter.spilled == 0 and (sa == small[0]).all() and (lcp == small[1]).all()
+    ids = np.arange(len(parts))
+    got = repeated_bytes.owners([p.encode() for p in parts], ids, 256)
+    assert all((a == b).all() for a, b in zip(got, repeated_bytes.owners([p.encode() for p in parts], ids), strict=True))
 
 
 # 10
