@@ -100,7 +100,13 @@ class SuffixSorter:
         self.names = itertools.count()
 
     def file(self, dtype, n: int) -> np.ndarray:
-        return np.asarray(np.memmap(os.path.join(self.folder, f"f{next(self.names)}"), dtype, "w+", shape=max(1, n)))[:n]
+        """An array of zeros in a file without a name, which goes with the array."""
+        with tempfile.TemporaryFile(dir=self.folder) as f:
+            return np.asarray(np.memmap(f, dtype, "w+", shape=max(1, n)))[:n]
+
+    @staticmethod
+    def places(n: int):
+        return np.int32 if n < 1 << 31 else np.int64
 
     def queue(self) -> DiskQueue:
         return DiskQueue(self.folder, f"q{next(self.names)}", self.budget)
@@ -134,15 +140,15 @@ class SuffixSorter:
             kinds = np.repeat(np.append(rising, carry), np.diff(np.concatenate([[-1], differs, [b - a - 1]])))
             out[a:b] = 1 + 2 * t[: b - a] + kinds
             carry = bool(kinds[0])
-        found = []
-        path = os.path.join(self.folder, f"f{next(self.names)}")
-        with open(path, "wb") as f:
+        kind_of = self.places(n)
+        with tempfile.TemporaryFile(dir=self.folder) as f:
             for a, b in self.blocks(n):
                 kind = (np.asarray(out[max(0, a - 1) : b]) - 1) & 1
-                found = np.flatnonzero((kind[1:] == 1) & (kind[:-1] == 0)).astype(np.int64) + max(0, a - 1) + 1
-                f.write(found.tobytes())
+                found = np.flatnonzero((kind[1:] == 1) & (kind[:-1] == 0)) + max(0, a - 1) + 1
+                f.write(found.astype(kind_of).tobytes())
                 count += len(found)
-        return out, np.asarray(np.memmap(path, np.int64, "r", shape=count)) if count else np.zeros(0, np.int64)
+            f.flush()
+            return out, np.asarray(np.memmap(f, kind_of, "r", shape=count)) if count else np.zeros(0, kind_of)
 
     # LMS substrings
 
@@ -154,7 +160,7 @@ class SuffixSorter:
 
         def words(which: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             """The depth-th packed word of LMS substrings, and whether more follows."""
-            at = stars[which] + depth * width
+            at = stars[which].astype(np.int64) + depth * width
             end = np.where(which + 1 < m, stars[np.minimum(which + 1, m - 1)], n - 1)
             out = np.zeros(len(which), np.int64)
             for j in range(width):
@@ -184,15 +190,15 @@ class SuffixSorter:
         def in_order(which: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Blocks of star numbers in order of their substrings; those in `which` (perhaps a file) agree before `depth`."""
             if len(which) <= 2 * self.block:
-                yield refined(np.asarray(which), depth)
+                yield refined(which.astype(np.int64), depth)
                 return
-            sample, _ = words(np.asarray(which[:: max(1, len(which) // 4096)]), depth)
+            sample, _ = words(which[:: max(1, len(which) // 4096)].astype(np.int64), depth)
             sample.sort()
             bounds = np.unique(sample[np.linspace(0, len(sample) - 1, min(len(sample), 2 + 2 * len(which) // self.block)).astype(np.int64)])
             # A word of a bound has a slab for itself, as it may be very frequent.
             queue, sizes, unfinished = self.queue(), np.zeros(2 * len(bounds) + 1, np.int64), np.zeros(2 * len(bounds) + 1, bool)
             for a, b in self.blocks(len(which)):
-                part = np.asarray(which[a:b])
+                part = which[a:b].astype(np.int64)
                 key, more = words(part, depth)
                 slab = np.searchsorted(bounds, key) + np.searchsorted(bounds, key, "right")
                 sizes += np.bincount(slab, minlength=len(sizes))
@@ -200,7 +206,7 @@ class SuffixSorter:
                 o = np.argsort(slab, kind="stable")
                 queue.push_sorted(slab[o], part[o])
             for slab in np.flatnonzero(sizes).tolist():
-                whole, at = self.file(np.int64, int(sizes[slab])), 0
+                whole, at = self.file(self.places(m), int(sizes[slab])), 0
                 for part in queue.drain(slab):
                     whole[at : at + len(part)] = part
                     at += len(part)
@@ -210,23 +216,25 @@ class SuffixSorter:
                     yield from in_order(whole, depth + 1)
                 else:
                     for a, b in self.blocks(len(whole)):
-                        yield np.asarray(whole[a:b]), np.arange(a, b) > 0
+                        yield whole[a:b].astype(np.int64), np.arange(a, b) > 0
             self.spilled += queue.spilled
 
-        numbers = self.file(np.int64, m)
-        names = self.file(np.int64, m)
+        numbers, names = self.file(self.places(m), m), self.file(self.places(m), m)
         for a, b in self.blocks(m):
             numbers[a:b] = np.arange(a, b)
-        order, at, name = self.file(np.int64, m), 0, -1
+        order, at, name = self.file(self.places(m), m), 0, -1
         for which, same in in_order(numbers, 0):
             own = name + np.cumsum(~same)
             name = int(own[-1])
             names[which] = own
             order[at : at + len(which)] = which
             at += len(which)
+        del numbers
         if name + 1 < m:
+            del order
             order, _ = self.sort(names, name + 1, level + 1)
-        out = self.file(np.int64, m)
+        del names
+        out = self.file(self.places(n), m)
         for a, b in self.blocks(m):
             out[a:b] = stars[order[a:b]]
         return out
@@ -263,10 +271,11 @@ class SuffixSorter:
         for a, b in self.blocks(len(stars)):
             star_ends[1:] += np.bincount(slab_of((symbols[stars[a:b]] - 1) >> 1), minlength=last)
         star_ends = np.cumsum(star_ends)
-        l_type, out = self.file(np.int64, int(l_before[-1])), self.file(np.int64, n)
+        l_type, out = self.file(self.places(n), int(l_before[-1])), self.file(self.places(n), n)
 
         def children(pos: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Numbers of those whose predecessor has the wanted type, the predecessors and their characters."""
+            pos = pos.astype(np.int64)
             s = symbols[np.maximum(pos - 1, 0)].astype(np.int64) - 1
             at = np.flatnonzero((pos > 0) & ((s & 1) == kind))
             return at, pos[at] - 1, s[at] >> 1
@@ -321,7 +330,7 @@ class SuffixSorter:
         `first` were induced from other slabs, in order; `final` come last among those of their character. What these induce
         within the slab stands between, in the order of its sources: a suffix compares by its character, then as its source
         does. Chains of sources end in a suffix whose place is known, and are compared in steps of doubled length."""
-        edge = np.concatenate([first, final])
+        edge = np.concatenate([first, final]).astype(np.int64)
         found, sources, chars = [edge], [np.arange(len(edge))], [(symbols[edge].astype(np.int64) - 1) >> 1]
         number, total = sources[0], len(edge)
         while True:
@@ -357,20 +366,17 @@ class SuffixSorter:
 
     def with_prefixes(self, text: np.ndarray, symbols: np.ndarray, k: int, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, cap = len(text), self.cap
-        words = self.file(np.uint64, n)
+        # Characters are below 255, so a character and one fit into a byte; zeros lie beyond the end.
+        shifted = self.file(np.uint8, n + cap + 8)
         for a, b in self.blocks(n):
-            t = np.zeros(b - a + 7, np.uint64)
-            part = np.asarray(text[a : min(n, b + 7)]).astype(np.uint64) + np.uint64(1)
-            t[: len(part)] = part
-            # Characters are below 255, so a character and one fit into a byte; zeros lie beyond the end.
-            words[a:b] = sum(t[j : j + b - a] << np.uint64(8 * j) for j in range(8))
+            shifted[a:b] = text[a:b].astype(np.uint8) + np.uint8(1)
+        words = np.ndarray((n + cap,), np.uint64, shifted, strides=(1,))
 
         def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
             out = np.full(len(x), cap, np.int64)
             live = np.arange(len(x))
             for depth in range(0, cap, 8):
-                u, v = x[live] + depth, y[live] + depth
-                differ = np.where(u < n, words[np.minimum(u, n - 1)], np.uint64(0)) ^ np.where(v < n, words[np.minimum(v, n - 1)], np.uint64(1))
+                differ = words[x[live] + depth] ^ words[y[live] + depth]
                 ended = differ != 0
                 low = differ[ended] & (~differ[ended] + np.uint64(1))
                 out[live[ended]] = np.minimum(cap, depth + (np.log2(low.astype(float)).astype(np.int64) >> 3))
@@ -413,7 +419,7 @@ class SuffixSorter:
             s = np.asarray(symbols[a:b]) - 1
             l_count[1:] += np.bincount(s[(s & 1) == 0] >> 1, minlength=k)
         l_count = np.cumsum(l_count)
-        l_type = self.file(np.int64, int(l_count[-1]))
+        l_type, l_lcp = self.file(self.places(n), int(l_count[-1])), self.file(np.uint8, int(l_count[-1]))
 
         queue, at = self.queue(), 0
         first = int(text[n - 1])
@@ -423,12 +429,13 @@ class SuffixSorter:
             pending[:] = 0
             last = -1
             for block in queue.drain(c):
-                l_type[at : at + len(block)] = block
+                l_type[at : at + len(block)] = block >> 8
+                l_lcp[at : at + len(block)] = block & 255
                 at += len(block)
                 last = int(block[-1]) >> 8
                 send(queue, block >> 8, block & 255, 0)
             for a in range(int(bounds[c]), int(bounds[c + 1]), self.block):
-                pos = np.asarray(stars[a : min(bounds[c + 1], a + self.block)])
+                pos = stars[a : min(bounds[c + 1], a + self.block)].astype(np.int64)
                 before = np.append(stars[a - 1] if a > bounds[c] else last, pos[:-1])
                 lcp = common(np.maximum(before, 0), pos)
                 if before[0] < 0:
@@ -438,7 +445,7 @@ class SuffixSorter:
 
         queue, end = self.queue(), n
         seen[:] = False
-        out_pos, out_lcp = self.file(np.int64, n), self.file(np.uint8, n)
+        out_pos, out_lcp = self.file(self.places(n), n), self.file(np.uint8, n)
         for c in range(k - 1, -1, -1):
             pending[:] = 0
             last = -1
@@ -459,16 +466,16 @@ class SuffixSorter:
             a, b = int(l_count[c]), int(l_count[c + 1])
             for y in range(b, a, -self.block):
                 x = max(a, y - self.block)
-                block = np.asarray(l_type[x:y])[::-1]
+                block = l_type[x:y][::-1].astype(np.int64)
                 # Ascending tuples carry the lcp with the smaller neighbour; turned round, with the larger one.
                 lcp = np.empty(len(block), np.int64)
-                lcp[1:] = block[:-1] & 255
+                lcp[1:] = l_lcp[x + 1 : y][::-1]
                 if y < b:
-                    lcp[0] = int(l_type[y]) & 255
+                    lcp[0] = l_lcp[y]
                 else:
-                    lcp[0] = common(block[:1] >> 8, np.array([last]))[0] if last >= 0 else 0
-                place(block >> 8, lcp)
-                send(queue, block >> 8, lcp, 1)
+                    lcp[0] = common(block[:1], np.array([last]))[0] if last >= 0 else 0
+                place(block, lcp)
+                send(queue, block, lcp, 1)
         self.spilled += queue.spilled
         return out_pos, out_lcp
 

@@ -37,7 +37,7 @@ BATCH, BLOCK = 1 << 20, 1 << 16
 #: Windows of one segment at most; longer runs of one minimizer, which only periods have, are cut.
 LONGEST = 4096
 #: Bytes of segments in a shard.
-SHARD = 4_000_000
+SHARD = 2_000_000
 #: Bytes of segments beyond which a minimizer is hot.
 HOT = 250_000
 #: A window in at least so many segments of hot minimizers, or a HOT_SHARE-th of all their windows, is looked up apart from the others.
@@ -240,7 +240,7 @@ def owners(segments_: list[bytes], documents: np.ndarray, budget: int = IN_MEMOR
             while b < len(sa) and lcp[b] >= LENGTH:  # a group is not cut
                 more = np.flatnonzero(lcp[b : b + budget] < LENGTH)
                 b = b + int(more[0]) if len(more) else min(len(sa), b + budget)
-            pos = sa[a:b]
+            pos = sa[a:b].astype(np.int64)
             which = np.searchsorted(ends, pos, "right")
             group = np.cumsum(lcp[a:b] < LENGTH)
             ok = pos + LENGTH <= ends[which] - 1
