@@ -49,9 +49,9 @@ def cut(df: DataFrame, name: str = "part", compression: str = "snappy") -> DataF
 
 def release(*tables: DataFrame) -> None:
     """Delete tables that `cut` wrote and nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    spark = SparkSession.active()
     for df in tables:
-        spark, path = df.sparkSession, df._millrace_path
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     gc.collect()
     spark._jvm.System.gc()

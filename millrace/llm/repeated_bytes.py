@@ -193,8 +193,8 @@ def shared_bits(found: DataFrame, buckets: int) -> DataFrame:
 def segments_of(lists: DataFrame, buckets: int) -> DataFrame:
     """From LISTS with `known` (bucket, bits): one row for each distinct segment of a batch.
 
-    batch, value, id1, id2 (hash of the bytes), lo, hi (least and greatest doc_id), windows, firsts (where it starts), bytes."""
-    names = ["batch", "value", "id1", "id2", "lo", "hi", "windows", "firsts", "bytes"]
+    batch, value, id1, id2 (hash of the bytes), lo, hi (least and greatest doc_id), windows, firsts (where it starts)."""
+    names = ["batch", "value", "id1", "id2", "lo", "hi", "windows", "firsts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,9 +220,26 @@ def segments_of(lists: DataFrame, buckets: int) -> DataFrame:
                 lo, hi = np.minimum.reduceat(doc[o], head), np.maximum.reduceat(doc[o], head)
                 firsts = pa.ListArray.from_arrays(pa.array(np.append(head, len(o)).astype(np.int32)), pa.array(at[o].astype(np.int32)))
                 columns = [np.full(len(head), batch.column(0)[row].as_py()), value[of_head].view(np.int64), s[head, 0], s[head, 1], lo, hi, windows[of_head].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), firsts, pa.array([pieces[k] for k in of_head.tolist()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), firsts], names)
 
-    return lists.mapInArrow(run, "batch long, value long, id1 long, id2 long, lo long, hi long, windows int, firsts array<int>, bytes binary")
+    return lists.mapInArrow(run, "batch long, value long, id1 long, id2 long, lo long, hi long, windows int, firsts array<int>")
+
+
+def bytes_of(lists: DataFrame) -> DataFrame:
+    """From LISTS with `wanted` (first, windows, value, id1, id2, doc, hot): value, id1, id2, doc, hot and bytes of each."""
+    names = ["value", "id1", "id2", "doc", "hot"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                raw = batch.column(batch.schema.get_field_index("body"))[row].as_py()
+                rows = batch.column(batch.schema.get_field_index("wanted"))[row].values
+                first = rows.field(0).to_numpy().astype(np.int64)
+                stop = first + rows.field(1).to_numpy() + LENGTH - 1
+                pieces = pa.array([raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(rows.field(k) for k in range(2, 7)), pieces], [*names, "bytes"])
+
+    return lists.mapInArrow(run, "value long, id1 long, id2 long, doc long, hot boolean, bytes binary")
 
 
 def owners(segments_: list[bytes], documents: np.ndarray, budget: int = IN_MEMORY) -> list[np.ndarray]:
@@ -396,21 +413,26 @@ def removal(docs: DataFrame) -> DataFrame:
     release(bits)
 
     # One batch carries the bytes of a segment for all others.
-    distinct = segments.groupBy("value", "id1", "id2").agg(F.min("lo").alias("doc"), F.max("hi").alias("last"), F.min("batch").alias("carrier"), F.first("windows").alias("windows"))
-    distinct = cut(distinct, "distinct")
+    carrier = F.min(F.struct("batch", F.get("firsts", F.lit(0)).alias("first"))).alias("carrier")
+    distinct = segments.groupBy("value", "id1", "id2").agg(F.min("lo").alias("doc"), F.max("hi").alias("last"), carrier, F.first("windows").alias("windows"))
+    distinct = cut(distinct, "distinct", "zstd")
     several = cut(distinct.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("windows") + LENGTH - 1).alias("size")).where("n > 1").select("value", "size"), "several")
+    release()
     size = int(several.where(F.col("size") <= HOT).agg(F.sum("size")).first()[0] or 0)
-    wanted = distinct.join(small(several), "value").select("value", "id1", "id2", "doc", F.col("carrier").alias("batch"), (F.col("size") > HOT).alias("hot"))
-    carried = cut(wanted.join(segments.select("batch", "id1", "id2", "bytes"), ["batch", "id1", "id2"]).select("value", "id1", "id2", "doc", "hot", "bytes"), "carried", "zstd")
+    one = F.struct(F.col("carrier.first").alias("first"), "windows", "value", "id1", "id2", "doc", (F.col("size") > HOT).alias("hot"))
+    wanted = distinct.join(small(several), "value").groupBy(F.col("carrier.batch").alias("_batch")).agg(F.collect_list(one).alias("wanted"))
+    carried = cut(bytes_of(lists.join(wanted, F.col("batch") == F.col("_batch")).select("body", "wanted")), "carried", "zstd")
+    release(several)
     parts = max(12, size // SHARD + 1)
     owner = cut(shard_owners(carried.where(~F.col("hot")).repartition(parts, "value").sortWithinPartitions("value")), "owners")
+    release()
     hot = carried.where("hot")
     every = owner if hot.isEmpty() else owner.unionByName(hot_owners(hot))
     # Without a listed owner, a segment's windows belong to its least document.
     table = distinct.select("id1", "id2", "doc", "last").join(every, ["id1", "id2"], "left").where(F.col("owner").isNotNull() | (F.col("doc") < F.col("last")))
     places = segments.select("batch", "id1", "id2", "windows", "firsts", "hi").join(table, ["id1", "id2"]).where(F.col("owner").isNotNull() | (F.col("doc") < F.col("hi")))
     gone = cut(places.groupBy(F.col("batch").alias("_batch")).agg(F.collect_list(F.struct("windows", "firsts", "doc", "owner")).alias("gone")), "gone")
-    release(segments, distinct, several, carried, owner)
+    release(segments, distinct, carried, owner)
 
     own = removed(lists.join(gone, F.col("batch") == F.col("_batch"), "left").select("batch", "ids", "sizes", "body", "gone"))
     n = F.octet_length("text").cast("long")
