@@ -430,9 +430,11 @@ def removal(docs: DataFrame) -> DataFrame:
     every = owner if hot.isEmpty() else owner.unionByName(hot_owners(hot))
     # Without a listed owner, a segment's windows belong to its least document.
     table = distinct.select("id1", "id2", "doc", "last").join(every, ["id1", "id2"], "left").where(F.col("owner").isNotNull() | (F.col("doc") < F.col("last")))
+    table = cut(table, "table", "zstd")
+    release(distinct, carried, owner)
     places = segments.select("batch", "id1", "id2", "windows", "firsts", "hi").join(table, ["id1", "id2"]).where(F.col("owner").isNotNull() | (F.col("doc") < F.col("hi")))
     gone = cut(places.groupBy(F.col("batch").alias("_batch")).agg(F.collect_list(F.struct("windows", "firsts", "doc", "owner")).alias("gone")), "gone")
-    release(segments, distinct, carried, owner)
+    release(segments, table)
 
     own = removed(lists.join(gone, F.col("batch") == F.col("_batch"), "left").select("batch", "ids", "sizes", "body", "gone"))
     n = F.octet_length("text").cast("long")
