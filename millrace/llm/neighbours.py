@@ -1,14 +1,16 @@
 """Operator 6: approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors become one node. A few random-hyperplane tables give every node first neighbours; then iterative joins bring
-the neighbours of a node (its own and those that name it) together, compare them with one another, and keep each node's
-best. Queries walk the graph: each round expands a query's best unexpanded nodes by a join, scores what they lead to, and
-keeps a pool of the best. The pool's head is scored again with the original vectors in double precision.
-
-The graph and the walk use scaled half-precision vectors; only the final scores decide the order. Cases: vectors that are null,
-empty, zero, of another than the greatest length, or with null or non-finite components take no part, neither as query nor as
-candidate; ties go to the smaller id; repeated vectors are one node with many ids, of which the k + 1 smallest can be among the nearest;
-other columns pass by; with fewer than k candidates all are returned; an empty table gives no rows.
+Equal vectors become one node. Some random-hyperplane tables give every node first neighbours; then iterative joins bring
+the neighbours of a node (its own and the nearest of those that name it) together, compare them with one another, and keep each
+node's best, until few edges change. Queries walk the graph from their own node and some random ones: each round expands the
+best unexpanded nodes of a query's pool, scores what they lead to, and keeps the best. The walk ends when
+the whole pool is expanded. The pool's head is scored again with the original vectors in double precision.
+
+The graph and the walk use single precision, scaled by the greatest component; only the final scores decide the order. Vectors of different
+lengths have no distance: each length is searched by itself. Cases: vectors that are null, empty, zero, or with null or non-finite
+components take no part, neither as query nor as candidate; ties go to the smaller id; repeated vectors are one node
+with many ids, of which the k + 1 smallest can be among the nearest; other columns pass by; with fewer than k candidates
+all that the graph leads to are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, whole_groups
+from .common import cut, release, whole_groups
 
-K_GRAPH, K_REVERSE, KEPT = 16, 16, 6
-TABLES, BLOCK, DESCENTS = 4, 512, 2
-POOL, EXPANDED, ENTRIES, ROUNDS = 800, 200, 256, 16
-RERANKED = 64
+K_GRAPH, K_REVERSE, KEPT = 24, 24, 16
+TABLES, BLOCK = 8, 512
+#: Descents at most, and the share of changed edges that ends them.
+DESCENTS, SETTLED = 6, 0.05
+POOL, EXPANDED, ENTRIES, ROUNDS = 300, 75, 32, 40
+RERANKED = 40
+#: Pairs of a query and a node up to so many are broadcast (16 bytes each), by a bound that is known beforehand; more are joined by a shuffle.
+BROADCAST_PAIRS = 2_000_000
 #: Query vectors up to so many are broadcast (a few MB); more are joined.
 BROADCAST_QUERIES = 20_000
 SEED = 11
@@ -37,26 +43,24 @@ NODE = "node long, v binary"
 def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     """vec_id, x (array of double), of the vectors that take part."""
     x = F.col(vector).cast("array<double>")
-    held = vectors.select(F.col(id_).cast("long").alias("vec_id"), x.alias("x")).where(
+    return vectors.select(F.col(id_).cast("long").alias("vec_id"), x.alias("x")).where(
         F.col("x").isNotNull() & (F.size("x") > 0) & ~F.exists("x", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == float("inf"))) & F.exists("x", lambda a: a != 0)
     )
-    longest = held.agg(F.max(F.size("x"))).first()[0]
-    return held.where(F.size("x") == (longest or 0))
 
 
-def to_half(nodes: DataFrame, scale: float) -> DataFrame:
+def to_single(nodes: DataFrame, scale: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in (x / scale).astype("<f2")], pa.binary())], ["node", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in (x / scale).astype("<f4")], pa.binary())], ["node", "v"])
 
     return nodes.select("node", "x").mapInArrow(run, NODE)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), "<f2").reshape(len(values), -1).astype(np.float32) if values else np.zeros((0, 1), np.float32)
+    return np.frombuffer(b"".join(values), "<f4").reshape(len(values), -1) if values else np.zeros((0, 1), np.float32)
 
 
 def best_of(block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,96 +116,152 @@ def first_edges(nodes: DataFrame, n: int, k: int, tables: int, block: int, seed:
     return dealt.repartition("code").sortWithinPartitions("code").mapInArrow(compare, EDGE)
 
 
-def nearest_edges(edges: DataFrame, k: int, by: str = "a", other: str = "b") -> DataFrame:
-    """The k nearest of each node's edges."""
-    rank = F.row_number().over(W.partitionBy(by).orderBy(F.col("s").desc(), other))
-    return edges.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+def best_edges(edges: DataFrame, k: int, by: str) -> DataFrame:
+    """From (a, b, s, fresh): the k nearest edges of each node of column `by`; of an edge's rows the one that is not fresh stays."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, by):
+            a, b, s, fresh = (group.column(c).to_numpy() for c in ("a", "b", "s", "fresh"))
+            o = np.lexsort((fresh, b, a))
+            o = o[np.concatenate([[True], (np.diff(a[o]) != 0) | (np.diff(b[o]) != 0)])]
+            key, other = (a, b) if by == "a" else (b, a)
+            o = o[np.lexsort((other[o], -s[o], key[o]))]
+            head = np.concatenate([[True], np.diff(key[o]) != 0])
+            rank = np.arange(len(o)) - np.maximum.accumulate(np.where(head, np.arange(len(o)), 0))
+            o = o[rank < k]
+            yield pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (a, b, s, fresh)], ["a", "b", "s", "fresh"])
+
+    return edges.select("a", "b", "s", "fresh").repartition(by).sortWithinPartitions(by).mapInArrow(run, EDGE + ", fresh boolean")
+
+
+def thinned(edges: DataFrame, k: int, by: str, salts: int = 32) -> DataFrame:
+    """`best_edges` in two steps, so that a node which a large share of all nodes name fills no task."""
+    other = "a" if by == "b" else "b"
+    rank = F.row_number().over(W.partitionBy(by, F.pmod(F.xxhash64(other), F.lit(salts))).orderBy(F.col("s").desc(), other))
+    return best_edges(edges.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r"), k, by)
 
 
 def descend(nodes: DataFrame, edges: DataFrame, k: int, reverse: int, kept: int) -> DataFrame:
-    """One round: neighbours of a node meet there, and each takes along the `kept` nearest that beat the worst it has."""
-    worst = edges.groupBy("a").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("_a"), F.when(F.col("n") >= k, F.col("worst")).otherwise(float("-inf")).cast("float").alias("worst"))
-    both = edges.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(nearest_edges(edges, reverse, "b", "a").select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
-    known = nodes.join(worst, F.col("node") == F.col("_a"), "left").select("node", "v", F.coalesce("worst", F.lit(float("-inf"))).cast("float").alias("worst"))
-    met = both.join(known, "node").repartition("at").sortWithinPartitions("at")
+    """One round: neighbours of a node meet there, and each takes along the `kept` nearest."""
+    named = thinned(edges, reverse, "b").select(F.col("b").alias("at"), F.col("a").alias("node"))
+    met = edges.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(named).join(nodes, "node").repartition("at").sortWithinPartitions("at")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "at"):
-            at, ids = group.column("at").to_numpy(), group.column("node").to_numpy()
-            bar, x = group.column("worst").to_numpy(), matrix(group.column("v"))
+            at, ids, x = group.column("at").to_numpy(), group.column("node").to_numpy(), matrix(group.column("v"))
             cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             a, b, s = [], [], []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1:
-                    top, score = best_of(x[lo:hi], kept)
-                    good = score > bar[lo:hi, None]
-                    a.append(np.repeat(ids[lo:hi], good.sum(1)))
-                    b.append(ids[lo:hi][top][good])
-                    s.append(score[good])
+                mine, first = np.unique(ids[lo:hi], return_index=True)  # a neighbour may also name the node
+                if len(mine) > 1:
+                    top, score = best_of(x[lo:hi][first], kept)
+                    a.append(np.repeat(mine, top.shape[1]))
+                    b.append(mine[top].ravel())
+                    s.append(score.ravel())
             if a:
                 yield edges_of(a, b, s)
 
-    new = met.select("at", "node", "worst", "v").mapInArrow(compare, EDGE)
-    return nearest_edges(edges.unionByName(new).groupBy("a", "b").agg(F.max("s").alias("s")), k)
+    new = met.select("at", "node", "v").mapInArrow(compare, EDGE).withColumn("fresh", F.lit(True))
+    return best_edges(edges.withColumn("fresh", F.lit(False)).unionByName(new), k, "a")
 
 
 def graph(nodes: DataFrame, n: int, k: int = K_GRAPH, reverse: int = K_REVERSE, tables: int = TABLES, block: int = BLOCK, descents: int = DESCENTS, kept: int = KEPT, seed: int = SEED) -> DataFrame:
-    """(node, neighbours): each node's nearest and those that it is nearest to."""
-    edges = cut(nearest_edges(first_edges(nodes, n, k, tables, block, seed).groupBy("a", "b").agg(F.max("s").alias("s")), k), "edges")
+    """(node, near): each node's nearest and the nearest of those that name it."""
+    edges = cut(best_edges(first_edges(nodes, n, k, tables, block, seed).withColumn("fresh", F.lit(True)), k, "a"), "edges")
     for _ in range(descents):
-        edges = cut(descend(nodes, edges, k, reverse, kept), "edges")
-    both = edges.select(F.col("a").alias("node"), "b").unionByName(nearest_edges(edges, reverse, "b", "a").select(F.col("b").alias("node"), F.col("a").alias("b")))
-    return cut(both.groupBy("node").agg(F.collect_set("b").alias("near")), "graph")
+        before, edges = edges, cut(descend(nodes, edges, k, reverse, kept), "edges")
+        release(before)
+        changed, every = edges.agg(F.sum(F.col("fresh").cast("int")), F.count(F.lit(1))).first()
+        if (changed or 0) <= SETTLED * every:
+            break
+    both = edges.select(F.col("a").alias("node"), "b").unionByName(thinned(edges, reverse, "b").select(F.col("b").alias("node"), F.col("a").alias("b")))
+    out = cut(both.groupBy("node").agg(F.collect_set("b").alias("near")), "graph")
+    release(edges)
+    return out
+
 
+def walk(queries: DataFrame, nodes: DataFrame, near: DataFrame, n: int, pool: int = POOL, expanded: int = EXPANDED, entries: int = ENTRIES, rounds: int = ROUNDS, seed: int = SEED, visits: list[int] | None = None) -> DataFrame:
+    """(q, node, s): each query's pool of nearest nodes by greedy search. `queries`: q, v, start (a node to start at, or null).
 
-def walk(queries: DataFrame, nodes: DataFrame, near: DataFrame, n: int, pool: int = POOL, expanded: int = EXPANDED, entries: int = ENTRIES, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """(q, node, s): each query's pool of nearest nodes by greedy search. `queries`: q, v, start (a node to start at, or null)."""
+    `visits` gets the number of scored pairs of each round, for reports."""
     share = min(1.0, entries / max(1, n))
     doors = nodes.select("node").where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     doors = [F.lit(r["node"]) for r in doors.collect()]  # about `entries` ids, however many nodes there are
-    wanted = queries.select("q", F.explode(F.array(*doors).cast("array<bigint>")).alias("node")).unionByName(queries.where("start is not null").select("q", F.col("start").alias("node"))).distinct()
-    small = queries.count() <= BROADCAST_QUERIES
+    wanted = queries.select("q", F.explode(F.array(*doors, "start").cast("array<bigint>")).alias("node")).where("node is not null").distinct()
+    asked = queries.count()
     vectors = queries.select("q", F.col("v").alias("qv"))
-    held = None
+    vectors = F.broadcast(vectors) if asked <= BROADCAST_QUERIES else vectors
+    # A round's front has at most `expanded` nodes a query, each with at most as many neighbours as the graph gives.
+    few = asked * expanded * (K_GRAPH + K_REVERSE) <= BROADCAST_PAIRS
+    maybe = F.broadcast if few else (lambda df: df)
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                s = -((matrix(part.column(2)) - matrix(part.column(3))) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float32()), pa.array(np.zeros(len(s), bool))], ["q", "node", "s", "done"])
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "q"):
+            q, node, s, done = (group.column(c).to_numpy() for c in ("q", "node", "s", "done"))
+            o = np.lexsort((~done, node, q))
+            o = o[np.concatenate([[True], (np.diff(q[o]) != 0) | (np.diff(node[o]) != 0)])]
+            o = o[np.lexsort((node[o], -s[o], q[o]))]
+            place = np.arange(len(o))
+            head = np.concatenate([[True], np.diff(q[o]) != 0])
+            start = np.maximum.accumulate(np.where(head, place, 0))
+            keep = place - start < pool
+            o, start = o[keep], np.searchsorted(np.flatnonzero(keep), start[keep])
+            waiting = np.cumsum(~done[o])
+            turn = waiting - np.where(start > 0, waiting[start - 1], 0)
+            now = ~done[o] & (turn <= expanded)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[o]) for x in (q, node, s)), pa.array(done[o] | now), pa.array(now)], ["q", "node", "s", "done", "now"])
+
+    held, state = None, "q long, node long, s float, done boolean"
     for _ in range(rounds):
-        rows = wanted.join(nodes, "node").join(F.broadcast(vectors) if small else vectors, "q")
-
-        def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 4096):
-                    part = batch.slice(lo, 4096)
-                    s = -((matrix(part.column(2)) - matrix(part.column(3))) ** 2).sum(1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float32())], ["q", "node", "s"])
-
-        found = rows.select("q", "node", "v", "qv").mapInArrow(score, "q long, node long, s float").withColumn("done", F.lit(0))
-        if held is not None:
-            found = held.unionByName(found).groupBy("q", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-        order = W.partitionBy("q").orderBy(F.col("s").desc(), "node")
-        top = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pool)
-        turn = F.sum(1 - F.col("done")).over(order.rowsBetween(W.unboundedPreceding, 0))
-        top = top.withColumn("now", (F.col("done") == 0) & (turn <= expanded))
-        held = cut(top.select("q", "node", "s", F.when(F.col("now"), 1).otherwise(F.col("done")).alias("done"), "now"), "pool")
+        found = nodes.join(maybe(wanted), "node").join(vectors, "q").select("q", "node", "v", "qv").mapInArrow(score, state)
+        if visits is not None:
+            visits.append(wanted.count())
+        every = found if held is None else found.unionByName(held.select("q", "node", "s", "done"))
+        before, held = held, cut(every.repartition("q").sortWithinPartitions("q").mapInArrow(merge, state + ", now boolean"), "pool")
+        if before is not None:
+            release(before)
         front = held.where("now").select("q", "node")
-        held = held.drop("now")
         if front.isEmpty():
             break
-        wanted = front.join(near, "node").select("q", F.explode("near").alias("node")).distinct()
+        wanted = near.join(maybe(front), "node").select("q", F.explode("near").alias("node")).distinct()
+        wanted = wanted.join(maybe(held.select("q", "node")), ["q", "node"], "left_anti")  # what the pool has is not scored again
     return held.select("q", "node", "s")
 
 
 def search(vectors: DataFrame, id_: str, vector: str, k: int = 10, every: int = 100, **tuning) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest other rows found."""
-    held = cut(usable(vectors, id_, vector).withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64(F.lit("second"), "x")), "vectors")
-    ids = held.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"))
-    owner = cut(held.select("vec_id", "h1", "h2").join(cut(ids, "ids"), ["h1", "h2"]).select("vec_id", "node"), "owners")
-    originals = cut(held.join(owner.where("vec_id = node").select("vec_id").distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("node"), "x"), "nodes")
+    held = cut(usable(vectors, id_, vector), "usable")
+    lengths = sorted(r[0] for r in held.select(F.size("x")).distinct().collect())
+    found = [search_length(held.where(F.size("x") == d) if len(lengths) > 1 else held, k, every, **tuning) for d in lengths or [0]]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def search_length(usable_: DataFrame, k: int, every: int, **tuning) -> DataFrame:
+    """`search` over vectors (vec_id, x) of one length."""
+    held = cut(usable_.withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64(F.lit("second"), "x")), "vectors")
+    ids = cut(held.groupBy("h1", "h2").agg(F.min("vec_id").alias("first")), "ids")
+    # A node is named by its vector's smallest id; where a vec_id has rows with different vectors, by the hash as well.
+    named_twice = not ids.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    ids = ids.withColumn("node", F.xxhash64("first", "h1", "h2") if named_twice else F.col("first"))
+    owner = cut(held.select("vec_id", "h1", "h2").join(ids, ["h1", "h2"]).select("vec_id", "node"), "owners")
+    originals = cut(held.join(ids, ["h1", "h2"]).where(F.col("vec_id") == F.col("first")).dropDuplicates(["node"]).select("node", "x"), "nodes")
     n = originals.count()
     scale = float(originals.agg(F.max(F.array_max(F.transform("x", lambda a: F.abs(a))))).first()[0] or 1.0)
-    nodes = cut(to_half(originals, scale), "half")
+    nodes = cut(to_single(originals, scale), "single")
     near = graph(nodes, n, **{key: tuning[key] for key in tuning.keys() & {"k", "tables", "block", "descents"}})
     asked = owner.where(F.col("vec_id") % every == 0).select(F.col("node").alias("q")).distinct()
     queries = cut(asked.join(nodes, F.col("q") == F.col("node")).select("q", "v", F.col("node").alias("start")), "queries")
-    pool = walk(queries, nodes, near, n, **{key: tuning[key] for key in tuning.keys() & {"pool", "expanded", "entries", "rounds"}})
+    pool = walk(queries, nodes, near, n, **{key: tuning[key] for key in tuning.keys() & {"pool", "expanded", "entries", "rounds", "visits"}})
 
     # The k + 1 smallest ids of each node: a query may be one of them itself. Hot nodes are first thinned by salt.
     first = owner.distinct().withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))

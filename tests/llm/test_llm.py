@@ -281,7 +281,8 @@ def test_neighbours(spark):
     x[500:520] = x[0]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2100, [0.0] * 8), (2200, [float("nan")] * 8), (2300, [None] * 8), (2400, [])]
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<double>, node int")
-    got = neighbours.search(df, "vec_id", "embedding", pool=200, expanded=50, block=64).collect()
+    visits = []
+    got = neighbours.search(df, "vec_id", "embedding", block=64, visits=visits).collect()
     hits = 0
     for q in range(0, 900, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
@@ -291,10 +292,24 @@ def test_neighbours(spark):
         hits += len({r.vec_id for r in mine} & set(want.tolist()))
         assert [r.rank for r in mine] == list(range(1, 11)) and all(abs(r.score - d[r.vec_id]) < 1e-12 for r in mine)
     assert hits >= 0.9 * 90 and [r.vec_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r.rank)] == list(range(500, 510))
+    assert sum(visits) < 9 * 900  # a small table without clusters; README has the share on larger ones
     assert neighbours.search(df.where("vec_id < 3"), "vec_id", "embedding").count() == 2
     assert neighbours.search(df.where("vec_id < 0"), "vec_id", "embedding").count() == 0
 
 
+def test_neighbours_of_odd_vectors(spark):
+    """Each length by itself, a vec_id with two vectors, a repeated row, and one huge component that leaves the others apart."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, [1.0, 2.0]), (101, [1.0, 2.5]), (102, [9.0, 2.0]), (0, [50.0, 50.0, 50.0]), (5, x[5].tolist()), (200, [1e9, 0.0, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == 100), key=lambda r: r.rank)] == [(1, 101, 0.5), (2, 102, 8.0)]
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    near = np.lexsort((np.arange(40), d))[1:6].tolist()
+    assert set(near) <= {r.vec_id for r in got if r.query_id == 0}
+    assert len([r for r in got if r.query_id == 200]) == 10
+
+
 # 7
 
 
