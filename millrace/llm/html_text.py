@@ -1,9 +1,11 @@
 """Operator 4: main text of web pages by block rules in two passes.
 
-A forgiving tag scanner cuts a page into blocks and leaves out what markup itself marks as furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles). Pass one decides each remaining block from
-its link density, stop-word density, length and place (inside article or main, or not); short blocks that say too
-little stay open. In pass two an open block takes the label of its nearest decided neighbours.
+A forgiving tag scanner cuts a page into blocks and leaves out elements that are furniture by their tag (nav, footer, aside, form,
+script, style) or hidden. Pass one decides each block from its stop-word density, length and link density: long blocks
+of running text are content, blocks of links are furniture; short blocks that say too little stay open. Two kinds of
+evidence overrule running text: a class, id or role that names furniture (comments, notices, adverts), and standing outside
+of article or main where the page has one; but if nothing is left as content, names are not believed, and then
+places neither. In pass two an open block takes the label of its nearest decided neighbours under the same evidence.
 
 Cases: a null, empty or text-less page gives an empty text; a page without any decided block keeps all its blocks;
 unclosed, stray and crossed tags are mended as browsers do; pages of any length are read whole; repeated rows are
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +35,7 @@ FURNITURE = set("nav footer aside form head template noscript button select opti
 HEADINGS = {f"h{k}" for k in range(1, 7)}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body"}
+PARAGRAPH_SCOPE = SCOPE | {"td", "th", "li"}
 NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription sidebar aside rail widget widgets related recommended recommendations share sharing social comment comments disqus respond reply "
@@ -53,6 +57,7 @@ RIGHTS = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", r
 class Block:
     tag: str
     article: bool
+    named: bool  # within an element whose class, id or role names furniture
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -60,31 +65,34 @@ class Block:
         return " ".join(htmllib.unescape("".join(self.parts)).split())
 
 
-def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
+def furniture(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture by its tag or hidden, and whether its class, id or role says so."""
     if tag in FURNITURE or tag == "header" and not inside:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main") or tag in HEADINGS:
-        return False
+        return False, False
+    named = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, False
         if name == "role" and value in ROLES:
-            return True
+            named = True
         if name in ("class", "id"):
             parts = re.split(r"[^a-z]+", value)
-            if NAMES.intersection(parts) or "header" in parts and not inside and not {"article", "post", "entry", "story"}.intersection(parts):
-                return True
-    return False
+            named |= bool(NAMES.intersection(parts)) or "header" in parts and not inside and not {"article", "post", "entry", "story"}.intersection(parts)
+    return False, named
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks outside of furniture, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # tag, furniture from here on
-    skipping = links = 0
+    stack: list[tuple[str, bool, bool]] = []  # tag, furniture from here on, named so from here on
+    open_tags: Counter[str] = Counter()
+    owners: list[str] = []  # block tags of the stack
+    skipping = links = doubts = 0
     inside = 0
     block: Block | None = None
     at = 0
@@ -96,20 +104,22 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if text.isspace():
                 return
-            owner = next((t for t, _ in reversed(stack) if t in BLOCK), "")
-            block = Block(owner, bool(inside))
+            block = Block(owners[-1] if owners else "", bool(inside), bool(doubts))
             out.append(block)
         block.parts.append(text)
         if links:
             block.linked += len(text.split())
 
     def pop() -> str:
-        nonlocal skipping, links, inside, block
-        tag, furniture = stack.pop()
-        skipping -= furniture
+        nonlocal skipping, links, doubts, inside, block
+        tag, gone, named = stack.pop()
+        open_tags[tag] -= 1
+        skipping -= gone
+        doubts -= named
         links -= tag == "a"
         inside -= tag in ("article", "main")
         if tag in BLOCK:
+            owners.pop()
             block = None
         return tag
 
@@ -131,7 +141,7 @@ def blocks_of(page: str) -> list[Block]:
                 if tag == "br":
                     add(" ")
                 continue
-            if any(t == tag for t, _ in stack):
+            if open_tags[tag]:
                 while pop() != tag:
                     pass
             elif tag in BLOCK:
@@ -149,10 +159,13 @@ def blocks_of(page: str) -> list[Block]:
                 block = None
             continue
         if tag in BLOCK:
-            if any(t == "p" for t, _ in stack[-12:]):
-                deepest = max(k for k, (t, _) in enumerate(stack) if t == "p")
-                if not any(t in SCOPE or t in ("td", "th", "li") for t, _ in stack[deepest:]):
-                    while len(stack) > deepest:
+            if open_tags["p"]:
+                # A paragraph ends at a block, unless something between gives it a scope of its own.
+                k = len(stack) - 1
+                while stack[k][0] != "p" and stack[k][0] not in PARAGRAPH_SCOPE:
+                    k -= 1
+                if stack[k][0] == "p":
+                    while len(stack) > k:
                         pop()
             closes = CLOSES.get(tag)
             if closes:
@@ -168,63 +181,81 @@ def blocks_of(page: str) -> list[Block]:
         if rest.endswith("/"):
             continue
         if tag == "body":
-            while stack and any(t == "head" for t, _ in stack):
+            while open_tags["head"]:
                 pop()
-        furniture = is_furniture(tag, rest, inside > 0)
-        stack.append((tag, furniture))
-        skipping += furniture
+        gone, named = furniture(tag, rest, inside > 0)
+        stack.append((tag, gone, named))
+        open_tags[tag] += 1
+        if tag in BLOCK:
+            owners.append(tag)
+        skipping += gone
+        doubts += named
         links += tag == "a"
         inside += tag in ("article", "main")
     return out
 
 
-def label(words: list[str], linked: int, tag: str, article: bool, text: str) -> bool | None:
-    """Pass one: content, furniture, or open."""
+def label(words: list[str], linked: int, text: str, article: bool = False) -> tuple[bool | None, str]:
+    """Pass one: content, furniture, or open; and the rule that says so."""
     n = len(words)
-    if linked > LINK_SHARE * n and not (article and n >= LONG):
-        return False
-    if article:
-        return True
-    if RIGHTS.search(text):
-        return False
     stops = sum(w.strip(".,;:!?\"'()").lower() in STOPS for w in words) / n
+    if linked > LINK_SHARE * n and not (n >= LONG and stops >= STOP_SHARE and linked < n):
+        return False, "links"
+    if n < LONG and not article and RIGHTS.search(text):
+        return False, "rights"
     if n >= LONG and stops >= STOP_SHARE:
-        return True
+        return True, "stop words"
     if n >= 3 * LONG:
-        return True
+        return True, "length"
     if n >= SHORT and stops >= 2 * STOP_SHARE and text[-1:] in ".!?…\"”»":
-        return True
-    return None
+        return True, "sentence"
+    return None, "open"
+
+
+def inherited(marks: list[bool | None], headings: list[bool]) -> list[bool | None]:
+    """Pass two: an open block takes the label of the nearest decided one; content wins ties; a heading goes with what follows."""
+    n = len(marks)
+    before, after = [-1] * n, [n] * n
+    for k in range(n):
+        before[k] = k if marks[k] is not None else before[k - 1] if k else -1
+    for k in range(n - 1, -1, -1):
+        after[k] = k if marks[k] is not None else after[k + 1] if k + 1 < n else n
+    out = list(marks)
+    for k in range(n):
+        if marks[k] is None:
+            a, b = before[k], after[k]
+            if b < n and (headings[k] or a < 0 or b - k < k - a):
+                out[k] = marks[b]
+            elif a >= 0 and (b == n or k - a < b - k):
+                out[k] = marks[a]
+            elif a >= 0:
+                out[k] = marks[a] or marks[b]
+    return out
+
+
+def decided(page: str | None) -> list[tuple[str, bool, str]]:
+    """(text, kept, rule) for each block of a page."""
+    held = [(b, t) for b in blocks_of(page or "") if (t := b.text())]
+    found = [label(t.split(), b.linked, t, b.article) for b, t in held]
+    articles = any(b.article for b, _ in held)
+    # What overrules the text's own label, and less and less of it where nothing would be left.
+    for against in (lambda b: b.named or articles and not b.article, lambda b: articles and not b.article, lambda b: False):
+        over = [against(b) for b, _ in held]
+        marks = [None if no else mark for (mark, _), no in zip(found, over, strict=True)]
+        # Blocks that are overruled take no part in what their neighbours inherit.
+        inner = [k for k, no in enumerate(over) if not no]
+        labels = inherited([marks[k] for k in inner], [held[k][0].tag in HEADINGS for k in inner])
+        kept = [False] * len(held)
+        for k, x in zip(inner, labels, strict=True):
+            kept[k] = x is not False
+        if any(kept):
+            break
+    return [(t, keep, "evidence" if no else "inherited" if rule == "open" else rule) for (_, t), keep, no, (_, rule) in zip(held, kept, over, found, strict=True)] if held else []
 
 
 def main_text(page: str | None) -> str:
     """The main text: blocks joined by an empty line."""
-    if not page:
-        return ""
-    held = [(b, t) for b in blocks_of(page) if (t := b.text())]
-    articles = any(b.article for b, _ in held)
-    first = []
-    for b, t in held:
-        words = t.split()
-        mark = label(words, b.linked, b.tag, b.article, t)
-        # Where a page has an article, what stands outside of it isn't the article.
-        first.append(False if articles and not b.article else mark)
-    decided = [k for k, x in enumerate(first) if x is not None]
-    keep = []
-    for k, x in enumerate(first):
-        if x is None and decided:
-            before = next((d for d in reversed(decided) if d < k), None)
-            after = next((d for d in decided if d > k), None)
-            if held[k][0].tag in HEADINGS and after is not None:
-                x = first[after]
-            elif before is None or after is None:
-                x = first[after if before is None else before]
-            elif k - before == after - k:
-                x = first[before] or first[after]
-            else:
-                x = first[before if k - before < after - k else after]
-        keep.append(x is not False)
-    return "\n\n".join(t for (_, t), x in zip(held, keep, strict=True) if x)
+    return "\n\n".join(t for t, keep, _ in decided(page) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -112,10 +112,11 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int =
     spark = docs.sparkSession
     rows: list[tuple[str, str]] = []
     if labelled is not None:
-        known = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        n = known.count()
-        share = min(1.0, fit_rows / max(n, 1))
-        rows = [(r[0], r[1]) for r in known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).collect()]
+        held_ = "doc_id" if "doc_id" in labelled.columns else "text"
+        known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+        share = min(1.0, fit_rows / max(known.count(), 1))
+        # Chosen by doc_id, so a text with many copies doesn't come whole; the limit is for tables with few ids.
+        rows = [(r[0], r[1]) for r in known.where(F.pmod(F.xxhash64(held_), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text", "lang").limit(2 * fit_rows).collect()]
     langs, table = fit(rows)
     all_langs = [*langs, "other"]
     for c in ("declared", "suffix", "host", "domain"):
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, fit_rows: int =
 def of_documents(docs: DataFrame) -> DataFrame:
     """Documents: the source is the host; markup and addresses are looked for in the text itself."""
     address = F.regexp_extract(F.col("text"), r"https?://([A-Za-z0-9.-]+)", 1)
-    return identify(docs.select("doc_id", "text", declared_language(F.col("text")).alias("declared"), suffix_language(address).alias("suffix"), F.col("source").cast("string").alias("host")), docs.select("text", "lang"))
+    return identify(docs.select("doc_id", "text", declared_language(F.col("text")).alias("declared"), suffix_language(address).alias("suffix"), F.col("source").cast("string").alias("host")), docs.select("doc_id", "text", "lang"))
 
 
 def of_pages(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ then longer lengths fill up, and a bounded-knapsack dynamic programme over the l
 `window` words. Which documents of a length are taken follows a seeded hash of doc_id.
 
 Cases: null and empty texts have size 0 and are taken with 0 words; a null source is a source of its own, last
-in order; sources without words have target 0; repeated rows count one by one; other columns pass through
-`mix` untouched; an empty table gives no rows. One row per source goes to the driver, nothing per document.
+in order; sources without words have target 0; repeated rows count one by one; other columns are left
+out; an empty table gives no rows. One row per source goes to the driver, nothing per document.
 """
 
 from __future__ import annotations

@@ -186,9 +186,23 @@ def near_duplicates_query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one row for each class: that of the smallest doc_id."""
-    found = cut(classes(docs), "classes")
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    """`docs` with one row for each class: that of the smallest doc_id.
+
+    A doc_id with several rows: rows of one text are one document; rows with different texts are told apart, so each goes only with its own class."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("n > 1").isEmpty():
+        gone = cut(classes(docs), "classes").where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    # Rows are numbered in the order of doc_id, so that the first of a class has its smallest doc_id.
+    number = "_row_" + "_".join(docs.columns)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = cut(docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")).distinct(), "keys")
+    ranked = keys.repartitionByRange("d", "h1", "h2").sortWithinPartitions("d", "h1", "h2").withColumn("place", F.monotonically_increasing_id())
+    ranked = cut(ranked, "numbers")
+    once = docs.dropDuplicates(["doc_id", "text"])
+    text = F.coalesce(once["text"], F.lit(""))
+    on = once["doc_id"].eqNullSafe(ranked["d"]) & (F.xxhash64(text) == ranked["h1"]) & (F.xxhash64(F.lit("second"), text) == ranked["h2"])
+    numbered = cut(once.join(ranked, on).select(*[once[c] for c in docs.columns], ranked["place"].alias(number)), "numbered")
+    gone = cut(classes(numbered.select(F.col(number).alias("doc_id"), "text")), "classes").where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
+    left = numbered.join(gone, F.col(number) == F.col("_gone"), "left_anti")
+    return left.dropDuplicates([number]).select(docs.columns)  # null and empty texts are one

@@ -3,7 +3,7 @@
 Tokenised documents are cut into pieces of at most `capacity` tokens. The number of pieces of each length, a
 table of at most `capacity` rows, is all that planning needs: multiplicative weights over the lengths price
 patterns (multisets of lengths that fit a sequence) by an unbounded-knapsack dynamic programme; the fractional
-solution is rounded down, and what it leaves is filled by the same pricing in whole copies, then best fit.
+solution is rounded down, and what it leaves is filled by best fit. The plan also knows a lower bound from the weights.
 Pieces get their place by rank within their length, so no piece is ever sent to the driver.
 
 Cases: a null or empty text is one end token; equal documents are packed each for itself; other columns pass by
@@ -13,10 +13,12 @@ Cases: a null or empty text is one end token; equal documents are packed each fo
 from __future__ import annotations
 
 import json
+import math
 import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,7 @@ from .common import cut, salted_rank
 CAPACITY = 2048
 END = 0
 #: Rounds of multiplicative weights, and the rate at which covered lengths lose weight.
-ROUNDS, RATE = 256, 2.0
-#: Below so many pieces left, best fit ends the plan.
-TAIL = 2048
+ROUNDS, RATE = 96, 0.5
 #: Chunks whose tokens each Python worker remembers.
 REMEMBERED = 500000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -84,88 +84,122 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern of greatest value: length to how often, by unbounded knapsack; values are of `lengths`, ascending."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+def knapsack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each room its best total value and the length taken first (0: none); values[l] is that of one piece of length l, -inf if there is none."""
+    capacity = len(values) - 1
+    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        m = upto[c]
-        best[c], pick[c] = best[c - 1], -1
-        if m:
-            found = best[c - lengths[:m]] + values[:m]
-            k = int(found.argmax())
-            if found[k] > best[c]:
-                best[c], pick[c] = found[k], k
-    pattern: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+        found = values[1 : c + 1] + best[c - 1 :: -1] if c > 1 else values[1:2] + best[:1]
+        k = int(found.argmax())
+        if found[k] > best[c - 1]:
+            best[c], pick[c] = found[k], k + 1
         else:
-            size = int(lengths[pick[c]])
+            best[c] = best[c - 1]
+    return best, pick
+
+
+def traced(pick: np.ndarray, room: int) -> dict[int, int]:
+    """The pattern that fills `room`: length to how often."""
+    pattern: dict[int, int] = {}
+    while room > 0:
+        size = int(pick[room])
+        if size:
             pattern[size] = pattern.get(size, 0) + 1
-            c -= size
+        room -= size or 1
     return pattern
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[int, list[int]]]:
-    """Patterns as (copies, lengths) that use up counts[length] pieces exactly; counts has capacity + 1 entries."""
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
+    """Best-fit decreasing over the histogram: equal sequences are filled together."""
+    rooms: dict[int, list[tuple[int, list[int]]]] = {}
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[size])
+        if size == 0:
+            continue
+        room = size
+        while n and room < capacity:
+            if not rooms.get(room):
+                room += 1
+                continue
+            copies, sizes = rooms[room].pop()
+            k = min(n, copies)
+            if k < copies:
+                rooms[room].append((copies - k, sizes))
+            rooms.setdefault(room - size, []).append((k, [*sizes, size]))
+            n -= k
+            room = size if room - size >= size else room
+        each = capacity // size
+        for copies, times in ((n // each, each), (1 if n % each else 0, n % each)):
+            if copies:
+                rooms.setdefault(capacity - times * size, []).append((copies, [size] * times))
+    return [group for groups in rooms.values() for group in groups]
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Patterns as (copies, lengths); how many sequences they are; a lower bound of any plan's; the value of the fractional cover before rounding."""
+
+    patterns: list[tuple[int, list[int]]]
+    sequences: int
+    bound: int
+    fractional: float
+    method: str
+
+
+def planned(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> Plan:
+    """Uses up counts[length] pieces exactly; counts has capacity + 1 entries.
+
+    Multiplicative weights on the lengths' covering constraints: each round prices the pattern of greatest weight by the knapsack
+    programme, gives it a share of what it can still cover, and multiplies the weights of its lengths by
+    exp(-rate * the share of them that it covered). Weights over the greatest pattern's weight are a feasible dual, so every round
+    also bounds the programme from below. The cover is rounded down, best fit fills what is left, and best-fit decreasing of all pieces
+    is taken instead where it needs fewer sequences."""
     counts = counts.astype(np.int64).copy()
-    out: list[tuple[int, list[int]]] = []
-    if counts[capacity]:
-        out.append((int(counts[capacity]), [capacity]))
-        counts[capacity] = 0
-    left = counts.astype(float)
-    start = np.maximum(counts, 1).astype(float)
-    chosen: dict[tuple, float] = {}
-
-    def values(lengths: np.ndarray, remaining: np.ndarray) -> np.ndarray:
-        # A covered length loses weight; long ones lead slightly, as short ones fill gaps later.
-        covered = 1 - remaining[lengths] / start[lengths]
-        return lengths / capacity * np.exp(-rate * covered / max(rounds, 1)) * (1 + 0.05 * lengths / capacity - 0.1 * covered)
-
-    share = float((np.arange(capacity + 1) * counts).sum()) / capacity / max(rounds, 1)
+    full = [(int(counts[capacity]), [capacity])] if counts[capacity] else []
+    counts[capacity] = 0
+    lengths = np.flatnonzero(counts)
+    lengths = lengths[lengths > 0]
+    if not len(lengths):
+        n = sum(c for c, _ in full)
+        return Plan(full, n, n, float(n), "whole pieces")
+    n, weight = counts[lengths].astype(float), lengths / capacity
+    left, chosen, bound = n.copy(), {}, 0.0
+    where = np.full(capacity + 1, -1)
+    where[lengths] = np.arange(len(lengths))
+    material = float((lengths * n).sum()) / capacity
     for _ in range(rounds):
-        lengths = np.flatnonzero(left >= 1)
-        if not len(lengths) or share < 1:
-            break
-        pattern = price(values(lengths, left), lengths, capacity)
-        # A pattern wants each length no more often than is left.
-        copies = min([share] + [left[size] / n for size, n in pattern.items()])
-        chosen[tuple(sorted(pattern.items()))] = chosen.get(tuple(sorted(pattern.items())), 0.0) + copies
-        for size, n in pattern.items():
-            left[size] -= n * copies
+        whole = np.full(capacity + 1, -np.inf)
+        whole[lengths] = weight
+        best, pick = knapsack(whole)
+        bound = max(bound, float((n * weight).sum()) / best[capacity])
+        open_ = left >= 1
+        if not open_.all():
+            if not open_.any():
+                break
+            whole[lengths[~open_]] = -np.inf
+            best, pick = knapsack(whole)
+        pattern = traced(pick, capacity)
+        at = where[list(pattern)]
+        times = np.array(list(pattern.values()), float)
+        copies = min(float((left[at] / times).min()), max(1.0, material / rounds))
+        key = tuple(sorted(pattern.items()))
+        chosen[key] = chosen.get(key, 0.0) + copies
+        left[at] -= times * copies
+        weight[at] *= np.exp(-rate * times * copies / n[at])
+    fractional = sum(chosen.values()) + float((left * lengths).sum()) / capacity
+    rest, out = counts.copy(), []
     for pattern, copies in chosen.items():
-        whole = int(min([copies + 1e-9] + [counts[size] // n for size, n in pattern]))
-        if whole:
-            out.append((whole, [size for size, n in reversed(pattern) for _ in range(n)]))
-            for size, n in pattern:
-                counts[size] -= n * whole
-    while counts.sum() > TAIL:
-        lengths = np.flatnonzero(counts)
-        pattern = price(values(lengths, counts.astype(float)), lengths, capacity)
-        # Where a pattern asks for more of a length than there is, it gets what there is.
-        pattern = {size: min(n, int(counts[size])) for size, n in pattern.items()}
-        room = capacity - sum(size * n for size, n in pattern.items())
-        for size in lengths[::-1]:
-            more = min(room // int(size), int(counts[size]) - pattern.get(int(size), 0))
-            if more > 0:
-                pattern[int(size)] = pattern.get(int(size), 0) + int(more)
-                room -= int(size) * int(more)
-        copies = max(1, min(int(counts[size]) // n for size, n in pattern.items()))
-        out.append((copies, [size for size in sorted(pattern, reverse=True) for _ in range(pattern[size])]))
-        for size, n in pattern.items():
-            counts[size] -= n * copies
-    bins: list[tuple[int, list[int]]] = []
-    for size in np.repeat(np.arange(capacity, -1, -1), counts[::-1]):
-        fits = [(room - size, k) for k, (room, _) in enumerate(bins) if room >= size]
-        if fits:
-            room, k = min(fits)
-            bins[k] = (room, [*bins[k][1], int(size)])
-        else:
-            bins.append((capacity - int(size), [int(size)]))
-    return out + [(1, b) for _, b in bins]
+        k = int(min([copies + 1e-9] + [rest[size] // times for size, times in pattern]))
+        if k:
+            out.append((k, [size for size, times in reversed(pattern) for _ in range(times)]))
+            for size, times in pattern:
+                rest[size] -= times * k
+    out += best_fit(rest, capacity)
+    other = best_fit(counts, capacity)
+    total = lambda plan: sum(c for c, _ in plan)
+    patterns, method = (out, "multiplicative weights") if total(out) <= total(other) else (other, "best fit decreasing")
+    first = sum(c for c, _ in full)
+    return Plan(full + patterns, first + total(patterns), first + math.ceil(bound - 1e-6), first + fractional, method)
 
 
 class Places:
@@ -196,7 +230,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, salts: int = 64)
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[row["length"]] = row["n"]
-    places = pieces.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)))
+    places = pieces.sparkSession.sparkContext.broadcast(Places(planned(counts, capacity).patterns))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

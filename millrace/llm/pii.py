@@ -1,8 +1,8 @@
 """Operator 1: personal data by fixed patterns and a character-level bidirectional LSTM with CRF transitions.
 
 The tagger reads a text in overlapping windows. All four kinds hold a digit or an at sign, so windows without
-either have nothing to decode. Each window is decoded by itself; the spans of all windows of a text are then
-reconciled at once: the set of spans without overlaps that scores best, found by weighted interval scheduling, is
+either have nothing to decode. Each window is decoded by itself; spans that a window's edge cuts off are joined with what
+the next window has of them, and the spans of all windows of a text are then reconciled at once: the set of spans without overlaps that scores best, found by weighted interval scheduling, is
 added to the spans of the fixed patterns, which always stay.
 
 Cases: null and empty texts have no spans; texts of any length are read whole, some windows at a time; repeated rows
@@ -86,23 +86,44 @@ def window_starts(text: str) -> np.ndarray:
     return STRIDE * np.unique(np.concatenate([block, np.maximum(block - 1, 0)]))
 
 
-def spans_of_tags(tags: np.ndarray, scores: np.ndarray, start: int, length: int) -> list[tuple[float, str, int, int]]:
-    """(score, kind, start, end) of one window's tags; cut off at a window's inner edge, a span is left to the next window."""
+def spans_of_tags(tags: np.ndarray, scores: np.ndarray, start: int, length: int) -> list[tuple[float, str, int, int, bool, bool]]:
+    """(score, kind, start, end, open before, open after) of one window's tags; a span is open where a window's inner edge cuts it off."""
     out, k, n = [], 0, min(len(tags), length - start)
     while k < n:
-        if tags[k] and TAGS[tags[k]][0] == "B":
-            kind, a = TAGS[tags[k]][2:], k
+        name = TAGS[tags[k]] if tags[k] else ""
+        if name and (name[0] == "B" or k == 0 and start > 0):
+            kind, a = name[2:], k
             k += 1
             while k < n and TAGS[tags[k]] == f"I-{kind}":
                 k += 1
-            if not (a == 0 and start > 0) and not (k == len(tags) and start + k < length):
-                margin = scores[np.arange(a, k), tags[a:k]] - scores[a:k, 0]
-                out.append((float(margin.sum()), kind, start + a, start + k))
+            margin = scores[np.arange(a, k), tags[a:k]] - scores[a:k, 0]
+            out.append((float(margin.sum()), kind, start + a, start + k, a == 0 and start > 0, k == len(tags) and start + k < length))
         else:
             k += 1
     return out
 
 
+def stitched(parts: list[tuple[float, str, int, int, bool, bool]]) -> list[tuple[float, str, int, int]]:
+    """Whole spans of a text, from those of its windows in order: parts of one kind that are cut off and overlap are one span.
+
+    What stays open at an edge is a piece of something that no window chain saw whole, and goes."""
+    out: list[tuple[float, str, int, int]] = []
+    held: dict[str, tuple[float, int, int, bool]] = {}
+    for score, kind, a, b, before, after in sorted(parts, key=lambda p: (p[2], p[3])):
+        if before and kind in held and held[kind][2] > a:
+            first, start, end, was_open = held.pop(kind)
+            if not was_open:
+                # The rest of the span before is longer where this window saw further.
+                score, a, before = first + max(0.0, score) * (b - end) / max(1, b - a) if b > end else first, start, False
+        if before:
+            held[kind] = (score, a, b, True)
+        elif after:
+            held[kind] = (score, a, b, False)
+        else:
+            out.append((score, kind, a, b))
+    return out
+
+
 def reconcile(found: list[tuple[float, str, int, int]], fixed: list[Span]) -> list[Span]:
     """The best-scoring set of spans without overlaps that leaves all fixed spans alone."""
     taken = sorted((a, b) for _, a, b in fixed)
@@ -148,7 +169,7 @@ def plausible(text: str, kind: str, a: int, b: int) -> bool:
 
 def tagger_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[float, str, int, int]]]:
     """Per text, the spans of all its windows."""
-    out: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
+    parts: list[list[tuple[float, str, int, int, bool, bool]]] = [[] for _ in texts]
     todo: list[tuple[int, int]] = []
 
     def flush() -> None:
@@ -159,7 +180,7 @@ def tagger_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[float, str
         scores = tagger.emissions(x)
         for (k, a), tags, s in zip(todo, tagger.decode(scores), scores, strict=True):
             if tags.any():
-                out[k] += [f for f in spans_of_tags(tags, s, a, len(texts[k])) if plausible(texts[k], *f[1:])]
+                parts[k] += spans_of_tags(tags, s, a, len(texts[k]))
         todo.clear()
 
     for k, text in enumerate(texts):
@@ -169,7 +190,7 @@ def tagger_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[float, str
                 flush()
     if todo:
         flush()
-    return out
+    return [[f for f in stitched(p) if plausible(t, *f[1:])] for t, p in zip(texts, parts, strict=True)]
 
 
 def joined(spans: list[Span]) -> str:
@@ -229,7 +250,9 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
             arrays[at] = pa.array(clean, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Names with dots can't be handed to a map, so columns go by number meanwhile.
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def mask_with_length(docs: DataFrame) -> DataFrame:

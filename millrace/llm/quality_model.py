@@ -4,10 +4,10 @@ Statistics of the whole text are transformed to be roughly normal; each class ge
 shrunk towards the pooled one and towards a multiple of the identity. The score is the logistic of the difference of the
 two log densities, taken as Mahalanobis distances through Cholesky factors that are computed once.
 
-Means and covariances are sums over all labelled rows of the training fold, so nothing is sampled and only
-two rows of sums reach the driver. Cases: null and empty texts have statistics of their own (zeros) and a score; where a
+Means and covariances are sums over all labelled rows of the training fold, of which
+two rows of sums reach the driver; only the logistic's two numbers rest on a bounded sample. Cases: null and empty texts have statistics of their own (zeros) and a score; where a
 class has fewer than two labelled rows, every score is the smoothed share of label 1; null labels are ignored;
-repeated rows count one by one; other columns pass through `score`; an empty table gives no rows.
+repeated rows count one by one; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ FEATURES = ("log_words", "word_length", "distinct_words", "repeated_runs", "repe
 #: Shares of the pooled covariance and of the identity in each class covariance.
 TO_POOLED, TO_IDENTITY = 0.05, 0.05
 THRESHOLD = 0.3
-#: At most so many labelled rows of the training fold calibrate the logistic.
+#: About so many labelled rows of the training fold, a seeded share of all, calibrate the logistic.
 CALIBRATION_ROWS = 20_000
+SEED = 13
 
 
 def held_out(doc_id: Column) -> Column:
@@ -168,7 +169,11 @@ def gap_column(model: Model) -> Column:
 def calibrate(model: Model, featured: DataFrame, label: str = "quality", rows: int = CALIBRATION_ROWS) -> Model:
     if model.constant is not None:
         return model
-    seen = featured.where(F.col(label).isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(gap_column(model).alias("gap"), F.col(label).cast("int").alias("label")).toPandas()
+    known = featured.where(F.col(label).isin(0, 1))
+    # A seeded share of the rows, so that about `rows` come, from all tasks together.
+    share = min(1.0, rows / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    seen = chosen.select(gap_column(model).alias("gap"), F.col(label).cast("int").alias("label")).toPandas()
     slope, offset = calibrated(seen["gap"].to_numpy(float), seen["label"].to_numpy(int))
     return replace(model, slope=slope, offset=offset)
 

@@ -1,8 +1,8 @@
 """Operator 2: quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Each rule is a predicate over the text's own statistics that says *reject*. `measured_order` times every rule
-on a bounded sample, sees how much of it the rule rejects, and sorts the rules by rejection per cost; `cascade`
-chains them in that order, so a text pays for a rule only if all earlier ones let it pass. The order changes
+Each rule is a predicate over the text's own statistics that says *reject*. `measured_order` times every rule from the raw
+text on over a seeded sample, sees how much of it the rule rejects, and sorts the rules by rejection per cost; `cascade`
+chains them in that order, so a text pays for a rule only if all earlier ones let it pass. The base rule is first, as its counts are wanted anyway. The order changes
 the cost and never the verdict, which is that no rule rejects.
 
 Cases: a null or empty text has no words and fails the base rule; ties and repeated rows are judged each by
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, let, words_of
 
-#: Rows that the cost estimate looks at; verdicts don't depend on it.
-SAMPLE_ROWS = 512
+#: About so many rows the cost estimate looks at; verdicts don't depend on it.
+SAMPLE_ROWS = 1024
+SEED = 17
 
 
 @dataclass(frozen=True)
@@ -52,25 +53,28 @@ def n_repeat_words(words: Column, size: int = 5) -> Column:
     return let(words, of_words).cast("long")
 
 
-def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letters, n_upper under a struct column `stats`."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def symbols_in(text: Column) -> Column:
+    return (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("long")
+
+
+def line_statistics(text: Column) -> Column:
+    """n_lines with a word, and n_dup_lines of them."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    return let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+
+
+def word_statistics(text: Column, repeats: bool = True) -> Column:
+    """n_words, word_chars and, if asked for, n_repeat_words."""
 
     def of_words(w: Column) -> list[Column]:
-        return [F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), n_repeat_words(w).alias("n_repeat_words")]
+        return [F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), *([n_repeat_words(w).alias("n_repeat_words")] if repeats else [])]
+
+    return let(words_of(text), lambda w: F.struct(*of_words(w)))
 
-    def of_lines(lines: Column) -> list[Column]:
-        return [F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines")]
 
-    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    return df.withColumn(
-        "stats",
-        F.struct(
-            let(words_of(F.col(text)), lambda w: F.struct(*of_words(w))).alias("w"),
-            let(lines, lambda x: F.struct(*of_lines(x))).alias("l"),
-            (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        ),
-    )
+def text_statistics(text: Column) -> Column:
+    """A struct of w (words), l (lines) and n_symbols."""
+    return F.struct(word_statistics(text).alias("w"), line_statistics(text).alias("l"), symbols_in(text).alias("n_symbols"))
 
 
 def base_failed(n_words: Column, repeats: Column) -> Column:
@@ -90,26 +94,38 @@ def default_rules(text: Column, n_words: Column, word_chars: Column, n_symbols:
     ]
 
 
-def measured_order(df: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per second on a sample of `sample_rows` rows, best first; given order breaks ties."""
-    sample = df.limit(sample_rows).cache()
+def raw_rules(text: Column) -> list[Rule]:
+    """`default_rules` with each rule's statistics inside, as their costs are measured."""
+    w, lines = word_statistics(text, False), line_statistics(text)
+    return default_rules(text, w["n_words"], w["word_chars"], symbols_in(text), lines["n_lines"], lines["n_dup_lines"])
+
+
+def measured_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Names of the rules by rejection per second on about `sample_rows` rows, a seeded share of all; best first, given order breaks ties.
+
+    Each rule is timed by itself from the raw text on, so it bears the cost of the statistics that it reads."""
+    n = docs.count()
+    share = min(1.0, sample_rows / max(1, n))
+    t = F.coalesce(F.col(text), F.lit(""))
+    # Equal texts are chosen row by row, so a text with many copies doesn't come whole.
+    sample = docs.where(F.rand(SEED) < share).select(t.alias("t")).cache()
+    rules = raw_rules(F.col("t"))
     try:
-        n = max(1, sample.count())
+        seen = max(1, sample.count())
 
-        def cost(rule: Rule | None) -> tuple[float, float]:
-            flag = F.lit(False) if rule is None else F.coalesce(rule.rejects, F.lit(False))
+        def cost(flag: Column) -> tuple[float, float]:
             began = time.perf_counter()
-            hit = sample.agg(F.sum(flag.cast("int"))).first()[0] or 0
-            return time.perf_counter() - began, hit / n
+            hit = sample.agg(F.sum(F.coalesce(flag, F.lit(False)).cast("int"))).first()[0] or 0
+            return time.perf_counter() - began, hit / seen
 
-        idle = min(cost(None)[0] for _ in range(2))
+        idle = min(cost(F.length("t") < 0)[0] for _ in range(2))
         rated = []
         for k, rule in enumerate(rules):
-            seconds, rejected = min(cost(rule) for _ in range(2))
-            rated.append((-rejected / max(seconds - idle, 1e-4), k, rule))
+            seconds, rejected = min(cost(rule.rejects) for _ in range(2))
+            rated.append((-rejected / max(seconds - idle, 1e-4), k, rule.name))
     finally:
         sample.unpersist()
-    return [rule for *_, rule in sorted(rated, key=lambda x: x[:2])]
+    return [name for *_, name in sorted(rated)]
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
@@ -120,26 +136,33 @@ def cascade(rules: Sequence[Rule]) -> Column:
     return F.lit(None).cast("string") if chain is None else chain
 
 
-def judge(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """`docs` with the struct `verdict`: the counts, base_failed, kept, and the rule that rejected first."""
-    held = text_statistics(docs, text)
-    s = F.col("stats")
-    n, chars, repeats, lines, dups, symbols = s["w"]["n_words"], s["w"]["word_chars"], s["w"]["n_repeat_words"], s["l"]["n_lines"], s["l"]["n_dup_lines"], s["n_symbols"]
-    rules = measured_order(held, default_rules(F.coalesce(F.col(text), F.lit("")), n, chars, symbols, lines, dups), sample_rows)
-    failed = base_failed(n, repeats)
-    return held.withColumn(
-        "verdict",
-        F.struct(
+def judged(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Column:
+    """A struct for a row of `docs`: the counts, base_failed, and the rule that rejected first (null: kept)."""
+    order = measured_order(docs, text, sample_rows)
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def of(s: Column) -> Column:
+        n, chars, repeats, lines, dups, symbols = s["w"]["n_words"], s["w"]["word_chars"], s["w"]["n_repeat_words"], s["l"]["n_lines"], s["l"]["n_dup_lines"], s["n_symbols"]
+        rules = {r.name: r for r in default_rules(t, n, chars, symbols, lines, dups)}
+        failed = base_failed(n, repeats)
+        return F.struct(
             n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dups.alias("n_dup_lines"), repeats.alias("n_repeat_words"),
-            failed.alias("base_failed"), F.when(failed, F.lit("base")).otherwise(cascade(rules)).alias("rejected_by"),
-        ),
-    ).drop("stats")
+            failed.alias("base_failed"), F.when(failed, F.lit("base")).otherwise(cascade([rules[k] for k in order])).alias("rejected_by"),
+        )
+
+    return let(text_statistics(t), of)
+
+
+def judge(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, verdict: str = "verdict") -> DataFrame:
+    """`docs` with the struct `verdict`; a column of that name is an error, all others stay as they are."""
+    if verdict.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {verdict!r} already; give another name for the verdict")
+    return docs.withColumn(verdict, judged(docs, text, sample_rows))
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
     v = F.col("verdict")
-    judged = judge(docs.select("doc_id", "text"))
-    return judged.select("doc_id", v["n_words"].alias("n_words"), v["word_chars"].alias("word_chars"), v["n_symbols"].alias("n_symbols"), v["n_dup_lines"].alias("n_dup_lines"), v["n_repeat_words"].alias("n_repeat_words"), v["base_failed"].alias("base_failed"), v["rejected_by"].isNull().alias("kept"))
+    return judge(docs.select("doc_id", "text")).select("doc_id", v["n_words"].alias("n_words"), v["word_chars"].alias("word_chars"), v["n_symbols"].alias("n_symbols"), v["n_dup_lines"].alias("n_dup_lines"), v["n_repeat_words"].alias("n_repeat_words"), v["base_failed"].alias("base_failed"), v["rejected_by"].isNull().alias("kept"))
 
 
 ORACLE = r"""

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import os
 import random
 import re
 import struct
@@ -88,6 +89,38 @@ def test_reconciling():
     assert pii.masked("call 123 now", [("phone", 5, 8)]) == "call [PHONE] now"
 
 
+def test_spans_over_window_edges():
+    """A span that no window sees whole is put together; pieces without the rest go; a span that one window sees whole stays as it is."""
+    tags = lambda at, n, first="B": [0] * at + [crf_lstm.TAGS.index(f"{first}-card")] + [crf_lstm.TAGS.index("I-card")] * (n - 1)
+    size, step, length = crf_lstm.WINDOW, crf_lstm.STRIDE, 3 * crf_lstm.WINDOW
+
+    def parts(a, b, starts):
+        out = []
+        for w in starts:
+            x, y = max(a, w) - w, min(b, w + size) - w
+            if x < y:
+                row = np.array(tags(x, y - x, "B" if a >= w else "I") + [0] * (size - y))
+                scores = np.zeros((size, len(crf_lstm.TAGS)))
+                scores[np.arange(size), row] = 1.0
+                out += pii.spans_of_tags(row, scores, w, length)
+        return [x[1:] for x in pii.stitched(out)]
+
+    every = range(0, length - size + 1, step)
+    for a, b in ((step - 8, step + size - 8 + 12), (3, 9), (step - 4, step + 4), (10, 10 + size + step), (0, size + 5)):
+        assert ("card", a, b) in parts(a, b, every)
+    assert parts(step - 8, step + size, [step]) == []
+
+
+def test_tagger_finds_whole_spans():
+    """Exact spans of fresh generated examples, where the text is the tagger's alone."""
+    tagger, hits, wanted, wrong = crf_lstm.trained(), 0, 0, 0
+    for text, spans in crf_lstm.labelled_examples(400, 77):
+        got = {(k, a, b) for _, k, a, b in pii.tagger_spans([text], tagger)[0]}
+        want = {tuple(x) for x in spans}
+        hits, wanted, wrong = hits + len(got & want), wanted + len(want), wrong + len(got - want)
+    assert hits > 0.5 * wanted and wrong < 0.5 * wanted, (hits, wanted, wrong)
+
+
 def test_pii_query(odd, none):
     rows = {r.doc_id: r for r in pii.digest(odd).collect()}
     assert pii.digest(none).count() == 0 and len(rows) == 12
@@ -122,11 +155,15 @@ def test_quality_rules(odd, none):
 
 
 def test_rule_order_keeps_the_verdict(odd):
-    held = quality_rules.text_statistics(odd)
-    rules = [quality_rules.Rule("short", F.col("stats.w.n_words") < 10), quality_rules.Rule("never", F.lit(False))]
-    assert quality_rules.measured_order(held, rules)[0].name == "short"
+    names = [r.name for r in quality_rules.raw_rules(F.col("text"))]
+    assert sorted(quality_rules.measured_order(odd)) == sorted(names)
+    rules = [quality_rules.Rule("short", quality_rules.word_statistics(F.col("text"))["n_words"] < 10), quality_rules.Rule("never", F.lit(False))]
     for order in itertools.permutations(rules):
-        assert held.where(quality_rules.cascade(order).isNull()).count() == held.where("stats.w.n_words >= 10").count()
+        assert odd.where(quality_rules.cascade(order).isNull()).count() == odd.where(quality_rules.word_statistics(F.col("text"))["n_words"] >= 10).count()
+    out = quality_rules.judge(odd)
+    assert out.columns == [*odd.columns, "verdict"] and {r.stats for r in out.select("stats").collect()} == {"x"}
+    with pytest.raises(ValueError):
+        quality_rules.judge(out)
 
 
 # 3
@@ -164,6 +201,47 @@ def test_near_duplicates(spark, odd, none):
     assert near_duplicates.keep_one(odd).count() == len(set(brute_classes([(r.doc_id, r.text) for r in odd.collect()]).values()))
 
 
+SF = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+
+
+def plain_classes(texts):
+    """Classes over all pairs that share a run of five words, by union and find."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({"short " + " ".join(w)} if w else set())
+    of, common = {}, {}
+    for i, s in sets.items():
+        for g in s:
+            of.setdefault(g, []).append(i)
+    for ids in of.values():
+        for pair in itertools.combinations(ids, 2):
+            common[pair] = common.get(pair, 0) + 1
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    first = {}
+    links = [(a, b) for (a, b), c in common.items() if 10 * c >= 8 * (len(sets[a]) + len(sets[b]) - c)]
+    for i, t in texts.items():
+        links.append((first.setdefault(t or "", i), i))
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in texts}
+
+
+@needs_data
+def test_near_duplicates_of_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").orderBy("doc_id").collect()}
+    assert {r.doc_id: r.class_id for r in near_duplicates.classes(docs).collect()} == plain_classes(texts)
+
+
 def test_near_copies_of_near_copies(spark):
     """A base and independent edits of it: edits are near the base but not near each other."""
     r = random.Random(8)
@@ -230,20 +308,88 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PROSE = "It was the first of the days in which they had not been to the town, and all of them were there with what was left of it."
+
+
+def test_html_evidence():
+    """Class names are believed only where something else is content; so is standing outside of an article."""
+    for name in ("legal", "search", "discussion"):
+        assert html_text.main_text(f'<body><div class="{name}"><h1>Title</h1><p>{PROSE}</p></div></body>') == f"Title\n\n{PROSE}"
+        assert html_text.main_text(f'<body><div><p>{PROSE}</p></div><div class="{name}"><p>{PROSE} No.</p></div></body>') == PROSE
+    assert html_text.main_text(f"<body><p>{PROSE}</p><article><nav>a b</nav><p>Short line</p></article></body>") == "Short line"
+    assert html_text.main_text(f"<body><p>{PROSE}</p><article><nav>a b</nav></article></body>") == PROSE
+    page = f'<body><p><a href="#">Home</a> <a href="#">Up</a></p><h2>Head</h2><p>{PROSE}</p><p>ok</p><p>© 2020 Somebody</p></body>'
+    assert [(keep, rule) for _, keep, rule in html_text.decided(page)] == [(False, "links"), (True, "inherited"), (True, "stop words"), (True, "inherited"), (False, "rights")]
+
+
+def test_inherited_labels():
+    """Against looking at all decided blocks."""
+    r = random.Random(3)
+    for _ in range(2000):
+        marks = [r.choice([None, None, True, False]) for _ in range(r.randint(0, 9))]
+        headings = [r.random() < 0.2 for _ in marks]
+        want = []
+        for k, m in enumerate(marks):
+            if m is None and any(x is not None for x in marks):
+                after = [j for j in range(k, len(marks)) if marks[j] is not None]
+                near = min(abs(j - k) for j, x in enumerate(marks) if x is not None)
+                m = marks[after[0]] if headings[k] and after else any(marks[j] for j in (k - near, k + near) if 0 <= j < len(marks) and marks[j] is not None)
+            want.append(m)
+        assert html_text.inherited(marks, headings) == want
+
+
+@needs_data
+def test_rules_decide_the_pages(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    count = {}
+    for r in rows:
+        for _, keep, rule in html_text.decided(r.html):
+            count[rule, keep] = count.get((rule, keep), 0) + 1
+    assert count["stop words", True] > 500 and count["sentence", True] > 100 and count["inherited", True] > 100
+
+
+def test_html_is_linear():
+    for page in ("<div>" * 20000 + "</p>a " * 20000, "<p>a" * 20000, "<div>x</div>" * 20000, "<p>" + "<b>" * 20000 + "<div>" * 100):
+        html_text.main_text(page)
+
+
 # 5
 
 
 def test_plan_is_exact_and_tight():
     rng = np.random.default_rng(0)
     counts = np.bincount(rng.integers(1, 101, 5000), minlength=101)
-    used, sequences = np.zeros(101, int), 0
-    for copies, sizes in packing.plan(counts, 100, rounds=32):
+    plan = packing.planned(counts, 100, rounds=32)
+    used = np.zeros(101, int)
+    for copies, sizes in plan.patterns:
         assert sum(sizes) <= 100
-        sequences += copies
-        for s in sizes:
-            used[s] += copies
-    assert (used == counts).all() and sequences <= np.ceil((counts * np.arange(101)).sum() / 100) * 1.01 + 2
-    assert packing.plan(np.zeros(101, int), 100) == []
+        for size in sizes:
+            used[size] += copies
+    assert (used == counts).all() and plan.sequences == sum(c for c, _ in plan.patterns)
+    assert plan.bound <= plan.sequences <= np.ceil((counts * np.arange(101)).sum() / 100) * 1.01 + 2
+    assert packing.planned(np.zeros(101, int), 100).patterns == []
+
+
+def test_plan_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(4)
+    for k in range(40):
+        counts = np.bincount(rng.integers(1, 41, int(rng.integers(1, 300))), minlength=41)
+        plan = packing.planned(counts, 40, rounds=int(rng.integers(1, 40)), rate=float(rng.choice([0, 0.5, 2])))
+        bins: list[int] = []
+        for size in np.repeat(np.arange(40, 0, -1), counts[40:0:-1]):
+            fits = [(room - size, j) for j, room in enumerate(bins) if room >= size]
+            if fits:
+                bins[min(fits)[1]] -= size
+            else:
+                bins.append(40 - size)
+        assert plan.bound <= plan.sequences <= len(bins), k
+
+
+def test_weights_bound_small_programmes():
+    """Pieces of 6 and 4 fill sequences of 10 exactly; three pieces of 6 can't share."""
+    assert packing.planned(np.bincount([6] * 9 + [4] * 9, minlength=11), 10).sequences == 9
+    alone = packing.planned(np.bincount([6] * 7, minlength=11), 10)
+    assert alone.sequences == alone.bound == 7
 
 
 def test_packing_query(spark, odd, none):
@@ -344,6 +490,16 @@ def test_language(spark, odd, none):
     assert all(r.language == "de" for r in got.values())
 
 
+@needs_data
+def test_language_held_out(spark):
+    """Fitted on four fifths of the labelled rows, right on the rest."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", F.col("source").alias("host"))
+    found = language.identify(docs.select("doc_id", "text", "host"), docs.where("doc_id % 5 <> 0").select("doc_id", "text", "lang"))
+    rest = docs.where("doc_id % 5 = 0").select("doc_id", "lang").join(found.where("kept"), "doc_id")
+    n, right = rest.agg(F.count(F.lit(1)), F.sum((F.col("lang") == F.col("language")).cast("int"))).first()
+    assert n > 150 and right >= 0.98 * n
+
+
 # 9
 
 
@@ -462,6 +618,15 @@ def test_suffix_sorting_recurses_on_disk():
 # 10
 
 
+@needs_data
+def test_quality_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_model.score(docs, labels).where("held_out").join(labels.where("quality is not null"), "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert auc >= 0.95 and sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
+
+
 def test_quality_model(spark, odd, none):
     r = random.Random(10)
     docs = [(i, (sentence(r, 80) + ".\n") * (1 if i % 2 else 8), i % 2) for i in range(200)]
@@ -478,15 +643,29 @@ def test_quality_model(spark, odd, none):
 
 
 def test_stages(spark, odd, none):
+    """Every stage over odd rows and over none, with columns whose names are those that stages and operators use inside."""
     for docs in (none, odd):
-        docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        for name in ("kept", "times", "_id", "_lang", "verdict", "_row", "size", "h1", "class_id", "Language", "with.dot"):
+            docs = docs.withColumn(name, F.lit("own"))
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, "")
             assert k == 4 or out.columns == docs.columns, name
-            docs = spark.createDataFrame(out.collect(), out.schema)
+            rows = out.collect()
+            assert k == 4 or all(r["kept"] == r["_id"] == r["with.dot"] == "own" for r in rows), name
+            docs = spark.createDataFrame(rows, out.schema)
     assert docs.count() > 0
 
 
+def test_stages_tell_texts_of_one_doc_id_apart(spark):
+    r = random.Random(4)
+    a, b = sentence(r, 30), sentence(r, 30)
+    rows = [(1, a), (2, b), (2, a + " end"), (3, b), (3, b), (4, None), (4, ""), (5, "other words " + sentence(r, 30))]
+    got = sorted((x.doc_id, x.text or "") for x in near_duplicates.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, a), (2, b), (4, ""), (5, rows[-1][1])])
+    docs = spark.createDataFrame([(1, "a b c", "s"), (1, "d e", "s"), (2, "f", "t"), (2, "f", "t")], "doc_id long, text string, source string")
+    assert {x.text for x in corpus_pipeline.mix_sources(spark, docs, "").collect()} >= {"a b c", "d e", "f"}
+
+
 def test_whole_groups():
     import pyarrow as pa
 
