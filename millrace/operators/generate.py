@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.staging import cut
 
 Model = Callable[[str], str]
 MIN_SCORE, VARIANTS, ATTEMPTS = 6, 3, 3
@@ -71,7 +72,7 @@ def parsed_verdict(reply: Column) -> Column:
 def expand(seeds: DataFrame, model: Model, n: int = VARIANTS) -> tuple[DataFrame, DataFrame]:
     """(id, input, output, tag) of new examples of `seeds`, and the replies with their errors."""
     prompts = seeds.select("id", F.format_string(EXPAND, F.lit(n), F.col("input"), F.col("output")).alias("prompt"))
-    replies = ask(prompts, "prompt", model)
+    replies = cut(ask(prompts, "prompt", model), "replies")  # the model is asked once, whoever reads the replies
     found = replies.select("id", F.posexplode(parsed_variants(F.col("reply"))).alias("k", "v"))
     return found.select("id", "k", "v.input", "v.output", F.lit("expanded").alias("tag")), replies
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,10 @@ from ..functions import vectors as V
 from .similarity import nearest_in, ranked
 
 
+#: Centroids up to so many are sent to every task (some MB).
+BROADCAST_LISTS = 4096
+
+
 def default_lists(n: int) -> int:
     return min(64, max(1, round(n**0.5)))
 
@@ -27,7 +35,25 @@ def train_centroids(vectors: DataFrame, n_lists: int, seed: int = 13, iterations
 
 
 def probe(queries: DataFrame, centroids: DataFrame, n_probe: int) -> DataFrame:
-    """(id, list): the n_probe nearest centroids of each query, ties to the smaller list."""
+    """(id, list): the n_probe nearest centroids of each query, ties to the smaller list.
+
+    Up to BROADCAST_LISTS centroids go to all tasks, so that no vector is shuffled; beyond, blocks of both sides meet."""
+    if centroids.count() <= BROADCAST_LISTS:
+        lists = centroids.select("id", F.col("vec").cast("array<double>").alias("vec")).orderBy("id").collect()
+        names = np.array([r["id"] for r in lists], np.int64)
+        units = V.unit_rows(np.array([r["vec"] for r in lists], float).reshape(len(lists), -1))
+        shared = queries.sparkSession.sparkContext.broadcast((names, units))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, units = shared.value
+            for batch in batches:
+                if batch.num_rows and len(names):
+                    sims = np.clip(V.unit_rows(V.dense(batch.column(1))) @ units.T, -1, 1)
+                    top = np.argsort(-sims, 1, kind="stable")[:, :n_probe]
+                    ids = batch.column(0).to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(names[top.ravel()])], ["id", "list"])
+
+        return queries.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "id long, list long")
     return nearest_in(queries, centroids, n_probe).select(F.col("i").alias("id"), F.col("j").alias("list"))
 
 

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import cut
 from ..functions.text import let, portable_hash
 
 PRIME = (1 << 31) - 1
@@ -51,7 +52,10 @@ def band_keys(signed: DataFrame, bands: int, rows: int, num_perm: int | None = N
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """(i, j), i < j, of ids that share a bucket. The join is on the bucket; ids that share several come once."""
+    """(i, j), i < j, of ids that share a bucket. The join is on the bucket; ids that share several come once.
+
+    Keys are written out first, so that signatures are computed once and not for either side."""
+    keys = cut(keys, "band-keys")
     left, right = keys.select("band", "key", F.col("id").alias("i")), keys.select("band", "key", F.col("id").alias("j"))
     return left.join(right, ["band", "key"]).where("i < j").select("i", "j").distinct()
 

@@ -171,7 +171,14 @@ class DataReport:
     warnings: list = field(default_factory=list)
 
     def as_dict(self) -> dict:
-        return json.loads(json.dumps(asdict(self), default=str).replace("NaN", "null").replace("Infinity", "null"))
+        def clean(x):
+            if isinstance(x, dict):
+                return {k: clean(v) for k, v in x.items()}
+            if isinstance(x, (list, tuple)):
+                return [clean(v) for v in x]
+            return None if isinstance(x, float) and not math.isfinite(x) else x
+
+        return json.loads(json.dumps(clean(asdict(self)), default=str))
 
     @classmethod
     def from_dict(cls, d: dict) -> DataReport:
@@ -216,5 +223,9 @@ def quality_report(seeds: DataFrame, generated: DataFrame, embedder=None, thresh
         best = closest_seed(gv, sv).persist()
         r.nearest_neighbour = one(neighbour_distances(gv))
         r.privacy = one(memorisation(best, threshold)) | {"n_seeds": r.n_seeds, "threshold": threshold, "offenders": [x.asDict() for x in offenders(best).collect()]}
+        for held in (gv, sv, best):
+            held.unpersist()
+    s.unpersist()
+    g.unpersist()
     r.warnings = warnings_of(r)
     return r

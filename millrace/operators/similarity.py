@@ -12,7 +12,7 @@ from ..functions import vectors as V
 
 def pairs_above(vectors: DataFrame, threshold: float, block: int = V.BLOCK) -> DataFrame:
     """(i, j, sim), i < j, of all pairs with a cosine of at least `threshold`; `vectors` has id and vec."""
-    return V.block_products(vectors, None, lambda s, a, b: np.nonzero((s >= threshold) & (a[:, None] < b[None, :])), block)
+    return V.block_products(vectors, None, lambda s, a, b: np.nonzero(s >= threshold), block, both=False)
 
 
 def matches_above(left: DataFrame, right: DataFrame, threshold: float, block: int = V.BLOCK) -> DataFrame:
@@ -20,6 +20,12 @@ def matches_above(left: DataFrame, right: DataFrame, threshold: float, block: in
     return V.block_products(left, right, lambda s, a, b: np.nonzero(s >= threshold), block)
 
 
+def greatest_cosine(left: DataFrame, right: DataFrame, block: int = V.BLOCK) -> DataFrame:
+    """One row (sim): the greatest cosine of a row of `left` and one of `right`; a block gives one number."""
+    best = lambda s, a, b: tuple(np.atleast_1d(x) for x in np.unravel_index(int(s.argmax()), s.shape))
+    return V.block_products(left, right, best, block).agg(F.max("sim").alias("sim"))
+
+
 def _best(k: int, own: bool) -> V.Pick:
     def pick(s: np.ndarray, a: np.ndarray, b: np.ndarray):
         s = np.where(a[:, None] == b[None, :], -np.inf, s) if own else s

@@ -108,6 +108,13 @@ def near_across(rows: DataFrame, threshold: float) -> DataFrame:
     return joined.select("i", "j", "sim", F.least("x", "y").alias("split_a"), F.greatest("x", "y").alias("split_b"))
 
 
+def greatest_across(rows: DataFrame) -> DataFrame:
+    """One row (sim): the greatest cosine over all pairs of rows of different splits, below any threshold too; rows: id, split, vec."""
+    of = lambda name: rows.where(F.col("split") == name).select("id", "vec")
+    found = [similarity.greatest_cosine(of(a), of(b)) for k, a in enumerate(NAMES) for b in NAMES[k + 1 :]]
+    return found[0].unionByName(found[1]).unionByName(found[2]).agg(F.max("sim").alias("sim"))
+
+
 def audit(rows: DataFrame, threshold: float, limit: int = 20) -> Leakage:
     """Of rows (id, split, key, vec): what splits share, exactly and nearly. The lists show the first `limit`; counts are whole."""
     shared, near = shared_keys(rows), near_across(rows, threshold).persist()
@@ -115,7 +122,7 @@ def audit(rows: DataFrame, threshold: float, limit: int = 20) -> Leakage:
     found = Leakage(n_shared == 0 and n_near == 0, {"shared_hashes": n_shared, "near_duplicates": n_near, "sampled_examples": 0})
     found.shared = [r.asDict() for r in shared.orderBy("key", "split_a", "split_b").limit(limit).collect()]
     found.near = [r.asDict() for r in near.orderBy(F.col("sim").desc(), "i", "j").limit(limit).collect()]
-    found.max_cosine = found.near[0]["sim"] if found.near else None
+    found.max_cosine = greatest_across(rows).first()["sim"]
     near.unpersist()
     return found
 

@@ -226,10 +226,10 @@ def nn_cosine_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n_examples", *[F.round(c, 6).alias(c) for c in ("mean", "median", "min", "max", "p10", "p90")], "frac_below_0_10")
 
 
-@query(f"WITH {VECS} SELECT a.id AS i, arg_max(b.id, struct_pack(s := list_dot_product(a.vec, b.vec), m := -b.id)) AS j FROM u a JOIN u b ON a.label = 0 AND b.label = 1 GROUP BY a.id")
+@query(f"WITH {VECS} SELECT a.id AS i, arg_max(b.id, struct_pack(s := list_dot_product(a.vec, b.vec), m := -b.id)) AS j FROM u a JOIN u b ON a.label = 0 AND b.label <> 0 GROUP BY a.id")
 def nearest_in_other_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    return similarity.nearest_in(v.where("label = 0"), v.where("label = 1")).select("i", "j")
+    return similarity.nearest_in(v.where("label = 0"), v.where("label <> 0")).select("i", "j")
 
 
 # Hashed and weighted text vectors
@@ -538,10 +538,13 @@ def leak_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.near_across(rows, NEAR).select("i", "j", F.round("sim", 6).alias("sim"), "split_a", "split_b")
 
 
-@query(f"WITH {PAIRS}, n AS (SELECT * FROM p WHERE sim >= {NEAR} AND i % 3 <> j % 3) SELECT count(*)::BIGINT AS near_duplicates, round(max(sim), 6) AS max_cosine, count(*) = 0 AS ok FROM n")
+@query(f"WITH {PAIRS}, n AS (SELECT * FROM p WHERE i % 3 <> j % 3) SELECT count(*) FILTER (sim >= {NEAR})::BIGINT AS near_duplicates, round(max(sim), 6) AS max_cosine, count(*) FILTER (sim >= {NEAR}) = 0 AS ok FROM n")
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).withColumn("split", split.split_name((F.col("id") % 3).cast("int")))
-    return split.near_across(rows, NEAR).agg(F.count(F.lit(1)).alias("near_duplicates"), F.round(F.max("sim"), 6).alias("max_cosine"), (F.count(F.lit(1)) == 0).alias("ok"))
+    near = split.near_across(rows, NEAR).agg(F.count(F.lit(1)).alias("near_duplicates")).withColumn("max_cosine", F.lit(None).cast("double"))
+    most = split.greatest_across(rows).select(F.lit(None).cast("long").alias("near_duplicates"), F.round("sim", 6).alias("max_cosine"))
+    out = near.unionByName(most).agg(F.max("near_duplicates").alias("near_duplicates"), F.max("max_cosine").alias("max_cosine"))
+    return out.withColumn("ok", F.col("near_duplicates") == 0)
 
 
 @query("WITH c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM labels) AS l, (SELECT count(*) FROM labels WHERE quality = 1) AS q) SELECT * FROM (SELECT 'seeds' AS stage, n::BIGINT AS n, 0::BIGINT AS dropped FROM c UNION ALL SELECT 'labelled', l::BIGINT, greatest(0, n - l)::BIGINT FROM c UNION ALL SELECT 'kept', q::BIGINT, greatest(0, l - q)::BIGINT FROM c)")

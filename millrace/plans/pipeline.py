@@ -81,7 +81,9 @@ def run_detailed(spark: SparkSession, seeds_path: str, out_path: str, expander:
     done = Result(kept, seeds, audit, stages, paths={"out": out_path})
     X.write_chat_file(kept, out_path)
     if report:
-        done.report = metrics.quality_report(seeds, kept, embedder, threshold)
+        same = [F.col(f"kept.{c}").eqNullSafe(F.col(f"seeds.{c}")) for c in ("input", "output", "tag")]
+        generated = kept.alias("kept").join(seeds.alias("seeds"), same, "left_anti").select("id", "input", "output", "tag")
+        done.report = metrics.quality_report(seeds, generated, embedder, threshold)
     if do_split:
         done.split = split.split_dataset(kept, settings.ratios, threshold, strategy, embedder)
         done.paths |= X.write_split_files(done.split.rows, out_path + ".splits")

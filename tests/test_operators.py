@@ -75,6 +75,11 @@ def test_similarity_blocks_and_ties(spark):
     want = {(i, j) for i, a in rows for j, b in rows if i < j and cos(a, b) >= 0.5}
     for block in (7, 512):
         assert {(x.i, x.j) for x in similarity.pairs_above(v, 0.5, block).collect()} == want
+    best = {i: sorted((-cos(a, b), j) for j, b in rows if j != i)[:3] for i, a in rows}
+    for block in (7, 512):
+        assert {(x.i, x.rank, x.j) for x in similarity.top_k(v, 3, block).collect()} == {(i, k + 1, j) for i, found in best.items() for k, (_, j) in enumerate(found)}
+    halves = v.where("id < 30"), v.where("id >= 30")
+    assert abs(similarity.greatest_cosine(*halves, 7).first().sim - max(cos(a, b) for i, a in rows for j, b in rows if i < 30 <= j)) < 1e-12
     everything = ivf.candidate_pairs(v, v.where("id < 4"), 4)
     assert everything.count() == 60 * 59 // 2
 
@@ -171,6 +176,9 @@ def test_pipeline(spark, tmp_path):
     assert done.n == len(lines) == 2 and lines[0]["messages"][0]["role"] == "user"
     again = M.read_manifest(str(tmp_path / "out.jsonl"))
     assert again.stages["expanded"] == 3 and again.same_inputs(done.manifest)
+    plain = run_detailed(spark, str(seeds), str(tmp_path / "plain.jsonl"), report=True, settings=Settings(embedder="hash"))
+    assert metrics.DataReport(labels={"NaN": float("nan"), "a": [float("inf"), "Infinity"]}).as_dict()["labels"] == {"NaN": None, "a": [None, "Infinity"]}
+    assert plain.n == 1 and plain.report.as_dict()["n_generated"] == 0  # seeds are not held against themselves
     (tmp_path / "none.json").write_text("[]")
     assert run_detailed(spark, str(tmp_path / "none.json"), str(tmp_path / "none.jsonl")).n == 0
     for bad in ("{not-json", '{"a": 1}', "[1]", '[{"input": "a"}]'):
