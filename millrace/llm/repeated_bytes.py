@@ -137,6 +137,7 @@ def opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of each of `values`: mixed minimizers, as minimizers themselves are least hashes and crowd in the lowest range."""
     return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
@@ -150,6 +151,7 @@ def minimizer_lists(lists: DataFrame, buckets: int) -> DataFrame:
                 _, _, document, value = runs_of(body, sizes)
                 if not len(value):
                     continue
+                value = mix(value)
                 o = np.argsort(value, kind="stable")
                 value, document = value[o], document[o]
                 head = np.concatenate([[True], value[1:] != value[:-1]])
@@ -168,6 +170,22 @@ def minimizer_lists(lists: DataFrame, buckets: int) -> DataFrame:
     return lists.mapInArrow(run, "bucket int, batch long, low binary, high binary, several binary")
 
 
+def bits_of(low: list[np.ndarray], high: list[np.ndarray], several: list[np.ndarray]) -> list[bytes]:
+    """For each list of a bucket's values a bit a value: whether it is in two lists, or `several` says that two documents have it."""
+    values = np.concatenate(high).astype(np.uint64) << np.uint64(32)
+    values |= np.concatenate(low)
+    ordered = np.sort(values)
+    shared = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], values[np.concatenate(several)]]))
+    del ordered
+    flags = np.zeros(len(values), bool)
+    if len(shared):
+        for a in range(0, len(values), BLOCK):
+            part = values[a : a + BLOCK]
+            flags[a : a + BLOCK] = shared[np.minimum(np.searchsorted(shared, part), len(shared) - 1)] == part
+    ends = np.cumsum([len(x) for x in low])
+    return [np.packbits(x).tobytes() for x in np.split(flags, ends[:-1])]
+
+
 def shared_bits(found: DataFrame, buckets: int) -> DataFrame:
     """(batch, bucket, bits): for each of a batch's minimizers in the bucket, whether another document has it too."""
 
@@ -177,14 +195,7 @@ def shared_bits(found: DataFrame, buckets: int) -> DataFrame:
             cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 part = group.slice(lo, hi - lo)
-                of = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in part.column(name)]  # noqa: E731,B023
-                values = [a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32) for a, b in zip(of("low", np.uint32), of("high", np.uint16), strict=True)]
-                every = np.concatenate(values)
-                several = np.concatenate(of("several", bool))
-                ordered = np.sort(every)
-                shared = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], every[several]]))
-                flags = shared[np.minimum(np.searchsorted(shared, every), len(shared) - 1)] == every if len(shared) else np.zeros(len(every), bool)
-                bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum([len(v) for v in values])[:-1])]
+                bits = bits_of(*([np.frombuffer(x.as_buffer(), kind) for x in part.column(name)] for name, kind in (("low", np.uint32), ("high", np.uint16), ("several", bool))))
                 yield pa.RecordBatch.from_arrays([part.column("batch").combine_chunks(), part.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], ["batch", "bucket", "bits"])
 
     return found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "batch long, bucket int, bits binary")
@@ -201,7 +212,7 @@ def segments_of(lists: DataFrame, buckets: int) -> DataFrame:
             for row in range(batch.num_rows):
                 ids, sizes, body = opened(batch, row)
                 at, windows, document, value = runs_of(body, sizes)
-                distinct, of = np.unique(value, return_inverse=True)
+                distinct, of = np.unique(mix(value), return_inverse=True)
                 counts = np.bincount(bucket_of(distinct, buckets), minlength=buckets)
                 known = batch.column(batch.schema.get_field_index("known"))[row].as_py()
                 shared = np.concatenate([np.unpackbits(np.frombuffer(k["bits"], np.uint8), count=counts[k["bucket"]]) for k in sorted(known, key=lambda k: k["bucket"])]).astype(bool)

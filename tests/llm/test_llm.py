@@ -558,6 +558,21 @@ def test_hot_minimizers(spark, monkeypatch):
     assert most and most[0] <= 500
 
 
+def test_minimizers_fill_buckets_evenly(spark):
+    """A task holds a bucket; least hashes are small, so ranges of the minimizers themselves are not alike."""
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, "".join(r.choices("abcdefgh ", k=4000))) for i in range(60)], "doc_id long, text string")
+    found = repeated_bytes.minimizer_lists(repeated_bytes.batched(docs), 16)
+    sizes = [x.n for x in found.groupBy("bucket").agg(F.sum(F.length("low") / 4).alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
+
+
+def test_bits_of_shared_values():
+    low, high, several = [[1, 2, 3], [3, 4], [], [5]], [[0, 0, 0], [1, 0], [], [0]], [[False, True, False], [False, False], [], [False]]
+    of = lambda lists, kind: [np.array(x, kind) for x in lists]
+    assert repeated_bytes.bits_of(of(low, np.uint32), of(high, np.uint16), of(several, bool)) == [b"\x40", b"\x00", b"", b"\x00"]
+
+
 def test_runs_of_windows(monkeypatch):
     """Runs cover each window once, whatever blocks are, and a window's minimizer does not depend on where it stands."""
     r = random.Random(9)
