@@ -2,7 +2,7 @@
 
 Equal vectors become one node. Some random-hyperplane tables give every node first neighbours; then iterative joins bring
 the neighbours of a node (its own and the nearest of those that name it) together, compare them with one another, and keep each
-node's best, until few edges change. Queries walk the graph from their own node and some random ones: each round expands the
+node's best, until few edges change; only pairs that may be new and may enter a list leave a meeting. Queries walk the graph from their own node and some random ones: each round expands the
 best unexpanded nodes of a query's pool, scores what they lead to, and keeps the best. The walk ends when
 the whole pool is expanded. The pool's head is scored again with the original vectors in double precision.
 
@@ -15,6 +15,7 @@ all that the graph leads to are returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, release, whole_groups
+from .near_duplicates import mix
 
 K_GRAPH, K_REVERSE, KEPT = 24, 24, 16
 TABLES, BLOCK = 8, 512
@@ -34,8 +36,10 @@ POOL, EXPANDED, ENTRIES, ROUNDS = 300, 75, 32, 40
 RERANKED = 40
 #: Pairs of a query and a node up to so many are broadcast (16 bytes each), by a bound that is known beforehand; more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
-#: Query vectors up to so many are broadcast (a few MB); more are joined.
-BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors that are sent to all executors at once; more queries walk in turns.
+QUERY_BYTES = 32_000_000
+#: Nodes whose vectors are one row, and queries whose state is one.
+NODES_IN_BUCKET, QUERIES_IN_PART = 2048, 16
 SEED = 11
 NODE = "node long, v binary"
 
@@ -141,27 +145,51 @@ def thinned(edges: DataFrame, k: int, by: str, salts: int = 32) -> DataFrame:
     return best_edges(edges.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r"), k, by)
 
 
+def met_edges(at: np.ndarray, ids: np.ndarray, x: np.ndarray, fresh: np.ndarray, bound: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, s): of the nodes that meet at each of `at`, the `kept` nearest of each that it may not know yet.
+
+    Two that both stood there before have been compared; an edge that is not above a node's `bound` could not enter its list."""
+    o = np.lexsort((~fresh, ids, at))  # a neighbour may also name the node; the fresh row stays
+    o = o[np.concatenate([[True], (np.diff(at[o]) != 0) | (np.diff(ids[o]) != 0)])]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(at[o]) != 0, [True]]))
+    sizes, found = np.diff(cuts), []
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        groups = o[cuts[:-1][sizes == m][:, None] + np.arange(m)]
+        for lo in range(0, len(groups), max(1, (1 << 19) // (m * m))):
+            g = groups[lo : lo + max(1, (1 << 19) // (m * m))]
+            block, f = x[g], fresh[g]
+            norms = (block**2).sum(2)
+            s = 2 * block @ block.transpose(0, 2, 1) - norms[:, :, None] - norms[:, None]
+            ok = (s > bound[g][:, :, None]) & (f[:, :, None] | f[:, None])
+            ok[:, np.arange(m), np.arange(m)] = False
+            row, many = ok.reshape(-1, m), s.reshape(-1, m)
+            over = np.flatnonzero(row.sum(1) > kept)
+            if len(over):
+                some = np.where(row[over], many[over], -np.inf)
+                top = np.argpartition(-some, kept - 1, 1)[:, :kept]
+                row[over] = False
+                row[over[:, None], top] = True
+            i, j = np.nonzero(row)
+            found.append((ids[g].ravel()[i], ids[g][i // m, j], many[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+
 def descend(nodes: DataFrame, edges: DataFrame, k: int, reverse: int, kept: int) -> DataFrame:
-    """One round: neighbours of a node meet there, and each takes along the `kept` nearest."""
-    named = thinned(edges, reverse, "b").select(F.col("b").alias("at"), F.col("a").alias("node"))
-    met = edges.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(named).join(nodes, "node").repartition("at").sortWithinPartitions("at")
+    """One round, from edges (a, b, s, fresh): neighbours of a node meet there, and each takes along the `kept` nearest it may not know."""
+    named = thinned(edges, reverse, "b").select(F.col("b").alias("at"), F.col("a").alias("node"), "fresh")
+    full = edges.groupBy(F.col("a").alias("node")).agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(float("-inf")).cast("float").alias("bound"))
+    met = edges.select(F.col("a").alias("at"), F.col("b").alias("node"), "fresh").unionByName(named)
+    met = met.join(nodes.join(full, "node", "left"), "node").repartition("at").sortWithinPartitions("at")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "at"):
-            at, ids, x = group.column("at").to_numpy(), group.column("node").to_numpy(), matrix(group.column("v"))
-            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            a, b, s = [], [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                mine, first = np.unique(ids[lo:hi], return_index=True)  # a neighbour may also name the node
-                if len(mine) > 1:
-                    top, score = best_of(x[lo:hi][first], kept)
-                    a.append(np.repeat(mine, top.shape[1]))
-                    b.append(mine[top].ravel())
-                    s.append(score.ravel())
-            if a:
-                yield edges_of(a, b, s)
+            at, ids, fresh, bound = (group.column(c).to_numpy() for c in ("at", "node", "fresh", "bound"))
+            a, b, s = met_edges(at, ids, matrix(group.column("v")), fresh, bound, kept)
+            if len(a):
+                yield edges_of([a], [b], [s])
 
-    new = met.select("at", "node", "v").mapInArrow(compare, EDGE).withColumn("fresh", F.lit(True))
+    bound = F.coalesce("bound", F.lit(float("-inf")).cast("float")).alias("bound")
+    new = met.select("at", "node", "v", "fresh", bound).mapInArrow(compare, EDGE).withColumn("fresh", F.lit(True))
     return best_edges(edges.withColumn("fresh", F.lit(False)).unionByName(new), k, "a")
 
 
@@ -180,59 +208,196 @@ def graph(nodes: DataFrame, n: int, k: int = K_GRAPH, reverse: int = K_REVERSE,
     return out
 
 
+#: What a walk knows of a node: scored and fallen out of the pool, not expanded yet, expanded next, expanded.
+DROPPED, WAITING, NOW, DONE = range(4)
+STATE = "part int, q binary, node binary, s binary, kind binary, fq array<int>, fnode array<long>, scored long"
+
+
+def bucket_of(node: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def packed(nodes: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, ids, x): the nodes of a bucket by id, and their vectors one after another."""
+
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch.column(0).to_numpy(), buckets)), batch.column(0), batch.column(1)], ["bucket", "node", "v"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, "bucket"):
+            bucket, ids = group.column("bucket").to_numpy(), group.column("node").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+            for lo, hi in itertools.pairwise(cuts):
+                x = b"".join(group.column("v").slice(lo, hi - lo).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[lo : lo + 1]), pa.array([ids[lo:hi].tobytes()], pa.binary()), pa.array([x], pa.binary())], ["bucket", "ids", "x"])
+
+    return nodes.mapInArrow(dealt, "bucket int, " + NODE).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "bucket int, ids binary, x binary")
+
+
+def unpacked(rows: dict, **kinds) -> list[np.ndarray]:
+    return [np.frombuffer(rows[name] or b"", kind) for name, kind in kinds.items()]
+
+
+def requests(asked: DataFrame, buckets: int) -> DataFrame:
+    """From a state with `links` (q, near): (bucket, q, node), the pairs that have not been scored, by the node's bucket."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            qs, found = [], []
+            for row in range(batch.num_rows):
+                q, node = unpacked({k: batch.column(k)[row].as_py() for k in ("q", "node")}, q=np.int32, node=np.int64)
+                links = batch.column("links")[row].values
+                near = links.field("near")
+                lq, ln = np.repeat(links.field("q").to_numpy(), np.diff(near.offsets.to_numpy())), near.flatten().to_numpy()
+                o = np.argsort(lq, kind="stable")
+                lq, ln = lq[o], ln[o]
+                cuts = np.flatnonzero(np.concatenate([[True], lq[1:] != lq[:-1], [True]])).tolist()
+                for lo, hi in itertools.pairwise(cuts):
+                    new = np.unique(ln[lo:hi])
+                    known = node[np.searchsorted(q, lq[lo]) : np.searchsorted(q, lq[lo], "right")]
+                    if len(known):
+                        new = new[known[np.minimum(np.searchsorted(known, new), len(known) - 1)] != new]
+                    qs.append(np.full(len(new), lq[lo], np.int32))
+                    found.append(new)
+            if not qs or not sum(map(len, qs)):
+                continue
+            q, node = np.concatenate(qs), np.concatenate(found)
+            bucket = bucket_of(node, buckets)
+            o = np.argsort(bucket, kind="stable")
+            q, node, bucket = q[o], node[o], bucket[o]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist()
+            parts = [[x[lo:hi].tobytes() for lo, hi in itertools.pairwise(cuts)] for x in (q, node)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *(pa.array(p, pa.binary()) for p in parts)], ["bucket", "q", "node"])
+
+    return asked.select("q", "node", "links").mapInArrow(run, "bucket int, q binary, node binary")
+
+
+def answers(asked: DataFrame, x: np.ndarray) -> DataFrame:
+    """From packed nodes with `asked` (q, node): (part, q, node, s), by the queries' parts; x has the queries' vectors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, v = unpacked({k: batch.column(k)[row].as_py() for k in ("ids", "x")}, ids=np.int64, x="<f4")
+                v = v.reshape(len(ids), -1)
+                pieces = [unpacked(p, q=np.int32, node=np.int64) for p in batch.column("asked")[row].as_py()]
+                q, node = (np.concatenate(c) for c in zip(*pieces, strict=True))
+                o = np.argsort(q, kind="stable")
+                q, node = q[o], node[o]
+                at, s = np.searchsorted(ids, node), np.empty(len(q), np.float32)
+                for lo in range(0, len(q), 4096):
+                    s[lo : lo + 4096] = -((x[q[lo : lo + 4096]] - v[at[lo : lo + 4096]]) ** 2).sum(1)
+                part = q // QUERIES_IN_PART
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+                parts = [[c[lo:hi].tobytes() for lo, hi in itertools.pairwise(cuts)] for c in (q, node, s)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts)], ["part", "q", "node", "s"])
+
+    return asked.select("ids", "x", "asked").mapInArrow(run, "part int, q binary, node binary, s binary")
+
+
+def merged(state: DataFrame, pool: int, expanded: int) -> DataFrame:
+    """From a state with `answers` (q, node, s; or null): the next state."""
+
+    def one(node: np.ndarray, s: np.ndarray, kind: np.ndarray, more: np.ndarray, more_s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A query's nodes by id, with scores and kinds, and those to expand."""
+        node, s = np.concatenate([node, more]), np.concatenate([s, more_s])
+        kind = np.concatenate([np.where(kind == NOW, DONE, kind).astype(np.uint8), np.full(len(more), WAITING, np.uint8)])
+        alive = np.flatnonzero(kind != DROPPED)
+        alive = alive[np.lexsort((node[alive], -s[alive]))]
+        kind[alive[pool:]] = DROPPED
+        now = alive[:pool][kind[alive[:pool]] == WAITING][:expanded]
+        kind[now] = NOW
+        front = node[now]
+        if not len(now):  # the walk has ended; what fell out need not be known any more
+            node, s, kind = (c[kind != DROPPED] for c in (node, s, kind))
+        o = np.argsort(node, kind="stable")
+        return node[o], s[o], kind[o], front
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q, node, s, kind = unpacked({k: batch.column(k)[row].as_py() for k in ("q", "node", "s", "kind")}, q=np.int32, node=np.int64, s=np.float32, kind=np.uint8)
+                pieces = [unpacked(p, q=np.int32, node=np.int64, s=np.float32) for p in batch.column("answers")[row].as_py() or [{"q": b"", "node": b"", "s": b""}]]
+                mq, mn, ms = (np.concatenate(c) for c in zip(*pieces, strict=True))
+                o = np.argsort(mq, kind="stable")
+                mq, mn, ms = mq[o], mn[o], ms[o]
+                every, out = np.union1d(q, mq), []
+                for k in every.tolist():
+                    a, b = np.searchsorted(q, [k, k + 1])
+                    c, d = np.searchsorted(mq, [k, k + 1])
+                    out.append(one(node[a:b], s[a:b], kind[a:b], mn[c:d], ms[c:d]))
+                cat = lambda i, t: np.concatenate([np.zeros(0, t), *(x[i] for x in out)]).astype(t)  # noqa: E731,B023
+                of = lambda i: np.repeat(every, [len(x[i]) for x in out]).astype(np.int32)  # noqa: E731,B023
+                columns = [[of(0).tobytes()], [cat(0, np.int64).tobytes()], [cat(1, np.float32).tobytes()], [cat(2, np.uint8).tobytes()]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("part").slice(row, 1), *(pa.array(c, pa.binary()) for c in columns), pa.array([of(3)], pa.list_(pa.int32())), pa.array([cat(3, np.int64)], pa.list_(pa.int64())), pa.array([len(mq)])],
+                    ["part", "q", "node", "s", "kind", "fq", "fnode", "scored"],
+                )
+
+    return state.select("part", "q", "node", "s", "kind", "answers").mapInArrow(run, STATE)
+
+
 def walk(queries: DataFrame, nodes: DataFrame, near: DataFrame, n: int, pool: int = POOL, expanded: int = EXPANDED, entries: int = ENTRIES, rounds: int = ROUNDS, seed: int = SEED, visits: list[int] | None = None) -> DataFrame:
     """(q, node, s): each query's pool of nearest nodes by greedy search. `queries`: q, v, start (a node to start at, or null).
 
+    No node is scored twice for a query. What belongs to some queries, or to a bucket of nodes, travels as one row of packed numbers.
     `visits` gets the number of scored pairs of each round, for reports."""
     share = min(1.0, entries / max(1, n))
     doors = nodes.select("node").where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    doors = [F.lit(r["node"]) for r in doors.collect()]  # about `entries` ids, however many nodes there are
-    wanted = queries.select("q", F.explode(F.array(*doors, "start").cast("array<bigint>")).alias("node")).where("node is not null").distinct()
-    asked = queries.count()
-    vectors = queries.select("q", F.col("v").alias("qv"))
-    vectors = F.broadcast(vectors) if asked <= BROADCAST_QUERIES else vectors
-    # A round's front has at most `expanded` nodes a query, each with at most as many neighbours as the graph gives.
-    few = asked * expanded * (K_GRAPH + K_REVERSE) <= BROADCAST_PAIRS
-    maybe = F.broadcast if few else (lambda df: df)
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doors = [r["node"] for r in doors.collect()]  # about `entries` ids, however many nodes there are
+    buckets = max(1, n // NODES_IN_BUCKET)
+    held = cut(packed(nodes, buckets), "packed")
+    size = int(queries.agg(F.sum(F.length("v"))).first()[0] or 0)
+    turns = max(1, -(-size // QUERY_BYTES))
+    found = []
+    for turn in range(turns):
+        mine = queries if turns == 1 else queries.where(F.pmod(F.xxhash64(F.lit(seed), "q"), F.lit(turns)) == turn)
+        found.append(walk_together(mine, held, near, doors, buckets, pool, expanded, rounds, visits))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def walk_together(queries: DataFrame, held: DataFrame, near: DataFrame, doors: list[int], buckets: int, pool: int, expanded: int, rounds: int, visits: list[int] | None) -> DataFrame:
+    """`walk` of queries whose vectors are sent to all executors."""
+    spark = queries.sparkSession
+    asked = sorted(queries.select("q", "v", "start").collect(), key=lambda r: r["q"])
+    ids, x = np.array([r["q"] for r in asked], np.int64), matrix(pa.array([bytes(r["v"]) for r in asked], pa.binary()))
+    numbers = np.arange(len(asked), dtype=np.int32)
+    empty = pa.table({"part": pa.array(np.unique(numbers // QUERIES_IN_PART), pa.int32())})
+    state = spark.createDataFrame(empty, "part int").select("part", *(F.lit(b"").alias(c) for c in ("q", "node", "s", "kind")))
+    starts = pa.table({"q": pa.array(numbers, pa.int32()), "start": pa.array([r["start"] for r in asked], pa.int64())})
+    near_doors = F.array_compact(F.array(*(F.lit(d) for d in doors), F.col("start")))
+    links = spark.createDataFrame(starts, "q int, start long").select("q", near_doors.alias("near"))
+    few = len(asked) * expanded <= BROADCAST_PAIRS
+
+    def ended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                s = -((matrix(part.column(2)) - matrix(part.column(3))) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float32()), pa.array(np.zeros(len(s), bool))], ["q", "node", "s", "done"])
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "q"):
-            q, node, s, done = (group.column(c).to_numpy() for c in ("q", "node", "s", "done"))
-            o = np.lexsort((~done, node, q))
-            o = o[np.concatenate([[True], (np.diff(q[o]) != 0) | (np.diff(node[o]) != 0)])]
-            o = o[np.lexsort((node[o], -s[o], q[o]))]
-            place = np.arange(len(o))
-            head = np.concatenate([[True], np.diff(q[o]) != 0])
-            start = np.maximum.accumulate(np.where(head, place, 0))
-            keep = place - start < pool
-            o, start = o[keep], np.searchsorted(np.flatnonzero(keep), start[keep])
-            waiting = np.cumsum(~done[o])
-            turn = waiting - np.where(start > 0, waiting[start - 1], 0)
-            now = ~done[o] & (turn <= expanded)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[o]) for x in (q, node, s)), pa.array(done[o] | now), pa.array(now)], ["q", "node", "s", "done", "now"])
-
-    held, state = None, "q long, node long, s float, done boolean"
+            for row in range(batch.num_rows):
+                q, node, s, kind = unpacked({k: batch.column(k)[row].as_py() for k in ("q", "node", "s", "kind")}, q=np.int32, node=np.int64, s=np.float32, kind=np.uint8)
+                ok = kind != DROPPED
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[ok]]), pa.array(node[ok]), pa.array(s[ok])], ["q", "node", "s"])
+
+    before = None
     for _ in range(rounds):
-        found = nodes.join(maybe(wanted), "node").join(vectors, "q").select("q", "node", "v", "qv").mapInArrow(score, state)
-        if visits is not None:
-            visits.append(wanted.count())
-        every = found if held is None else found.unionByName(held.select("q", "node", "s", "done"))
-        before, held = held, cut(every.repartition("q").sortWithinPartitions("q").mapInArrow(merge, state + ", now boolean"), "pool")
+        part = F.expr(f"q div {QUERIES_IN_PART}").cast("int").alias("part")
+        met = links.groupBy(part).agg(F.collect_list(F.struct("q", "near")).alias("links"))
+        wanted = requests(state.join(met, "part"), buckets).groupBy("bucket").agg(F.collect_list(F.struct("q", "node")).alias("asked"))
+        scored = answers(held.join(wanted, "bucket"), x).groupBy("part").agg(F.collect_list(F.struct("q", "node", "s")).alias("answers"))
+        state = cut(merged(state.join(scored, "part", "left"), pool, expanded), "walk")
         if before is not None:
             release(before)
-        front = held.where("now").select("q", "node")
-        if front.isEmpty():
+        before = state
+        total, waiting = state.agg(F.sum("scored"), F.sum(F.size("fq"))).first()
+        if visits is not None and total:
+            visits.append(total)
+        if not waiting:
             break
-        wanted = near.join(maybe(front), "node").select("q", F.explode("near").alias("node")).distinct()
-        wanted = wanted.join(maybe(held.select("q", "node")), ["q", "node"], "left_anti")  # what the pool has is not scored again
-    return held.select("q", "node", "s")
+        front = state.select(F.explode(F.arrays_zip("fq", "fnode")).alias("f")).select(F.col("f.fq").alias("q"), F.col("f.fnode").alias("node"))
+        links = near.join(F.broadcast(front) if few else front, "node").select("q", "near")
+    return state.select("q", "node", "s", "kind").mapInArrow(ended, "q long, node long, s float")
 
 
 def search(vectors: DataFrame, id_: str, vector: str, k: int = 10, every: int = 100, **tuning) -> DataFrame:

@@ -443,6 +443,36 @@ def test_neighbours(spark):
     assert neighbours.search(df.where("vec_id < 0"), "vec_id", "embedding").count() == 0
 
 
+def test_walk_scores_no_pair_twice(spark, monkeypatch):
+    """A pool that much falls out of, many small buckets, and queries that walk in turns."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i * 10, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "NODES_IN_BUCKET", 50, raising=False)
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 1000, raising=False)
+    visits = []
+    got = neighbours.search(df, "vec_id", "embedding", block=64, pool=30, expanded=10, visits=visits).collect()
+    assert sum(visits) <= 40 * 400
+    hits = 0
+    for q in range(0, 400, 10):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q * 10} & set((np.argsort(d)[:10] * 10).tolist()))
+    assert hits >= 0.9 * 400
+
+
+def test_met_edges():
+    """Only edges that a list may take: not between two old ones, none below the bound, the nearest `kept` of each node."""
+    x = np.array([[0], [1], [3], [7], [7], [20]], np.float32)
+    at, ids, low = np.array([5, 5, 5, 5, 5, 6]), np.array([10, 11, 12, 13, 13, 14]), np.full(6, -np.inf, np.float32)
+    fresh = np.array([False, False, True, False, True, True])
+    of = lambda bound, kept: {(int(a), int(b)): float(s) for a, b, s in zip(*neighbours.met_edges(at, ids, x, fresh, bound, kept), strict=True)}
+    every = {(10, 12): -9.0, (10, 13): -49.0, (11, 12): -4.0, (11, 13): -36.0, (12, 13): -16.0}
+    assert of(low, 9) == every | {(b, a): s for (a, b), s in every.items()}
+    assert of(low, 1) == {(10, 12): -9.0, (11, 12): -4.0, (12, 11): -4.0, (13, 12): -16.0}
+    assert set(of(np.full(6, -9.0, np.float32), 9)) == {(11, 12), (12, 11)}
+
+
 def test_neighbours_of_odd_vectors(spark):
     """Each length by itself, a vec_id with two vectors, a repeated row, and one huge component that leaves the others apart."""
     rng = np.random.default_rng(3)
