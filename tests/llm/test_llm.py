@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -597,6 +598,29 @@ def test_minimizers_fill_buckets_evenly(spark):
     assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
 
 
+def test_only_windows_found_twice_are_sorted(monkeypatch):
+    r = random.Random(8)
+    base = bytes(r.choices(b"abcdefgh", k=400))
+    lone = [bytes(r.choices(b"abcdefgh", k=68)) for _ in range(200)]
+    pairs = [base[a : a + 60] + bytes(r.choices(b"abcdefgh", k=8)) for a in (0, 5, 100, 100)] + [b"a" * 70]
+    segments, sorted_bytes, whole = [x for pair in itertools.zip_longest(lone, pairs) for x in pair if x], [], repeated_bytes.owners
+    documents = np.array([r.randrange(100) for _ in segments])
+    want = whole(segments, documents)
+    monkeypatch.setattr(repeated_bytes, "owners", lambda s, *rest: sorted_bytes.append(sum(map(len, s))) or whole(s, *rest))
+    table = pa.table({"value": np.arange(len(segments)) // 300, "id1": np.arange(len(segments)), "id2": np.zeros(len(segments), np.int64), "doc": documents, "bytes": pa.array(segments, pa.binary())})
+
+    class Frame:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return list(run(table.to_batches()))
+
+    got = {i: o for batch in repeated_bytes.shard_owners(Frame()) for i, o in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)}
+    assert got == {i: w.tolist() for i, w in enumerate(want) if (w < documents[i]).any()}
+    assert sum(sorted_bytes) < 500
+
+
 def test_bits_of_shared_values():
     low, high, several = [[1, 2, 3], [3, 4], [], [5]], [[0, 0, 0], [1, 0], [], [0]], [[False, True, False], [False, False], [], [False]]
     of = lambda lists, kind: [np.array(x, kind) for x in lists]
