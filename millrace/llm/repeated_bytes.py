@@ -5,8 +5,8 @@ are written once, in batches of about a megabyte. Each window of 50 bytes names
 minimizer), which depends on the window alone; so only windows whose minimizer occurs in two texts can repeat. Which do is
 found from packed lists of minimizers, dealt by hash range; the answer is a bit for each minimizer of a batch. Runs of
 windows around a shared minimizer become segments; equal segments are merged, and segments of a minimizer that has
-several are dealt into shards by minimizer. Each shard is suffix-sorted by external induced sorting (induced_sort.py): suffixes
-that share 50 bytes with their neighbour form groups, and the smallest document of a group owns its string. A minimizer
+several are dealt into shards by minimizer. Of a shard, what windows cover whose hash is found twice is suffix-sorted by external
+induced sorting (induced_sort.py): suffixes that share 50 bytes with their neighbour form groups, and the smallest document of a group owns its string. A minimizer
 whose segments would fill a good part of a shard is hot: its windows are grouped one by one over a 128-bit hash instead, so
 no shard grows with the number of texts that hold a common line. Batches then drop every byte of windows that an earlier
 document owns. Tables are deleted when their last reader is done.
@@ -472,17 +472,19 @@ def removal(docs: DataFrame) -> DataFrame:
     distinct = segments.groupBy("value", "id1", "id2").agg(F.min("lo").alias("doc"), F.max("hi").alias("last"), *carrier, F.first("windows").alias("windows"))
     distinct = cut(distinct, "distinct", "zstd")
     several = cut(distinct.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("windows") + LENGTH - 1).alias("size")).where("n > 1").select("value", "size"), "several")
-    release()
+    # Shuffle files of the last query were seen to stay until another had run; so one comes before the release, here and below.
     size = int(several.where(F.col("size") <= HOT).agg(F.sum("size")).first()[0] or 0)
+    release()
     one = F.struct("first", "windows", "value", "id1", "id2", "doc", (F.col("size") > HOT).alias("hot"))
     wanted = distinct.join(small(several), "value").groupBy(F.col("carrier").alias("_batch")).agg(F.collect_list(one).alias("wanted"))
     carried = cut(bytes_of(lists.join(wanted, F.col("batch") == F.col("_batch")).select("body", "wanted")), "carried", "zstd")
+    hot = carried.where("hot")
+    none_hot = hot.isEmpty()
     release(several)
     parts = max(12, size // SHARD + 1)
     owner = cut(shard_owners(carried.where(~F.col("hot")).repartition(parts, "value").sortWithinPartitions("value")), "owners")
     release()
-    hot = carried.where("hot")
-    every = owner if hot.isEmpty() else owner.unionByName(hot_owners(hot))
+    every = owner if none_hot else owner.unionByName(hot_owners(hot))
     # Without a listed owner, a segment's windows belong to its least document.
     table = distinct.select("id1", "id2", "doc", "last").join(every, ["id1", "id2"], "left").where(F.col("owner").isNotNull() | (F.col("doc") < F.col("last")))
     table = cut(table, "table", "zstd")
