@@ -217,3 +217,29 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("firsts").count() == 2
+
+
+def random_vectors(spark, n, dim=5, seed=7, repeat=()):
+    r = random.Random(seed)
+    rows = [(i, [r.gauss(0, 1) for _ in range(dim)]) for i in range(n)]
+    return [*rows, *[(i, [r.gauss(0, 1) for _ in range(dim)]) for i in repeat]]
+
+
+def cosine(a, b):
+    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_not_sent_once_a_block(spark):
+    """Each row is shuffled once, whatever the number of blocks, and results are those of a full comparison."""
+    rows = random_vectors(spark, 50)
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    for df in (similarity.pairs_above(v, 0.5, 7), similarity.top_k(v, 3, 7), similarity.nearest_in(v, v, 2, 7)):
+        assert "Generate" not in plan(df) and plan(df).count("Exchange") <= 1
+    same = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (9, [1.0, 2.0, 2.9]), *[(k, [2.0, 2.0, 3.0]) for k in (3, 5, 4, 8)]], "id long, vec array<double>")
+    for block in (1, 2, 512):  # ties go to the smaller id wherever the rows stand
+        assert [r.j for r in similarity.top_k(same, 2, block).where("i = 0").orderBy("rank").collect()] == [9, 3]
+        assert [r.j for r in similarity.top_k(same, 2, block).where("i = 8").orderBy("rank").collect()] == [3, 4]
