@@ -243,3 +243,17 @@ def test_rows_are_not_sent_once_a_block(spark):
     for block in (1, 2, 512):  # ties go to the smaller id wherever the rows stand
         assert [r.j for r in similarity.top_k(same, 2, block).where("i = 0").orderBy("rank").collect()] == [9, 3]
         assert [r.j for r in similarity.top_k(same, 2, block).where("i = 8").orderBy("rank").collect()] == [3, 4]
+
+
+def test_groups_send_pairs_of_different_groups_only(spark):
+    rows = random_vectors(spark, 90)
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    for threshold in (0.8, 0.97):
+        root = {i: i for i, _ in rows}
+        for _ in rows:
+            for i, a in rows:
+                for j, b in rows:
+                    if cosine(a, b) >= threshold:
+                        root[i] = root[j] = min(root[i], root[j])
+        for first in (5, 8_192):
+            assert {r.id: r.group_id for r in similarity.near_groups(v, threshold, 11, first).collect()} == root
