@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 from ..functions.staging import cut
-from . import similarity
 from .dedup import find_groups
 
 RATIOS = (0.8, 0.1, 0.1)
@@ -102,17 +102,23 @@ def shared_keys(rows: DataFrame) -> DataFrame:
 
 def near_across(rows: DataFrame, threshold: float) -> DataFrame:
     """(i, j, sim, split_a, split_b) of pairs of different splits with a cosine of at least `threshold`; rows: id, split, vec."""
-    pairs = similarity.pairs_above(rows.select("id", "vec"), threshold)
-    s = rows.select("id", "split")
-    joined = pairs.join(s.select(F.col("id").alias("i"), F.col("split").alias("x")), "i").join(s.select(F.col("id").alias("j"), F.col("split").alias("y")), "j").where("x <> y")
-    return joined.select("i", "j", "sim", F.least("x", "y").alias("split_a"), F.greatest("x", "y").alias("split_b"))
+    names, marked = _marked(rows)
+    pairs = V.meet(marked, V.blocks(marked), V.Above(threshold, "after", apart=True))
+    name = lambda c: F.get(F.lit(names).cast("array<string>"), F.col(c).cast("int"))
+    return pairs.select("i", "j", "sim", F.least(name("own"), name("other")).alias("split_a"), F.greatest(name("own"), name("other")).alias("split_b"))
+
+
+def _marked(rows: DataFrame) -> tuple[list[str], DataFrame]:
+    """The names of the splits, and (id, vec, mark) of the rows that have one, mark its place among the names."""
+    names = sorted(r["split"] for r in rows.select("split").where("split IS NOT NULL").distinct().collect())
+    mark = F.array_position(F.lit(names).cast("array<string>"), F.col("split")) - 1
+    return names, rows.where("split IS NOT NULL").select("id", "vec", mark.alias("mark"))
 
 
 def greatest_across(rows: DataFrame) -> DataFrame:
     """One row (sim): the greatest cosine over all pairs of rows of different splits, below any threshold too; rows: id, split, vec."""
-    of = lambda name: rows.where(F.col("split") == name).select("id", "vec")
-    found = [similarity.greatest_cosine(of(a), of(b)) for k, a in enumerate(NAMES) for b in NAMES[k + 1 :]]
-    return found[0].unionByName(found[1]).unionByName(found[2]).agg(F.max("sim").alias("sim"))
+    _, marked = _marked(rows)
+    return V.meet(marked, V.blocks(marked), V.Best(1, apart=True)).agg(F.max("sim").alias("sim"))
 
 
 def audit(rows: DataFrame, threshold: float, limit: int = 20) -> Leakage:
@@ -122,7 +128,7 @@ def audit(rows: DataFrame, threshold: float, limit: int = 20) -> Leakage:
     found = Leakage(n_shared == 0 and n_near == 0, {"shared_hashes": n_shared, "near_duplicates": n_near, "sampled_examples": 0})
     found.shared = [r.asDict() for r in shared.orderBy("key", "split_a", "split_b").limit(limit).collect()]
     found.near = [r.asDict() for r in near.orderBy(F.col("sim").desc(), "i", "j").limit(limit).collect()]
-    found.max_cosine = greatest_across(rows).first()["sim"]
+    found.max_cosine = near.agg(F.max("sim").alias("sim")).first()["sim"] if n_near else greatest_across(rows).first()["sim"]
     near.unpersist()
     return found
 

@@ -257,3 +257,14 @@ def test_groups_send_pairs_of_different_groups_only(spark):
                         root[i] = root[j] = min(root[i], root[j])
         for first in (5, 8_192):
             assert {r.id: r.group_id for r in similarity.near_groups(v, threshold, 11, first).collect()} == root
+
+
+def test_leaks_across_splits_by_brute_force(spark):
+    rows = random_vectors(spark, 60)
+    side = {i: ("train", "val", "test", None)[i % 4] for i, _ in rows}
+    v = spark.createDataFrame([(i, side[i], a) for i, a in rows], "id long, split string, vec array<double>")
+    across = {(i, j): cosine(a, b) for i, a in rows for j, b in rows if i < j and side[i] and side[j] and side[i] != side[j]}
+    got = split.near_across(v, 0.7)
+    assert "Join" not in plan(got)
+    assert {(r.i, r.j, r.split_a, r.split_b) for r in got.collect()} == {(i, j, *sorted((side[i], side[j]))) for (i, j), s in across.items() if s >= 0.7}
+    assert abs(split.greatest_across(v).first().sim - max(across.values())) < 1e-12
