@@ -268,3 +268,27 @@ def test_leaks_across_splits_by_brute_force(spark):
     assert "Join" not in plan(got)
     assert {(r.i, r.j, r.split_a, r.split_b) for r in got.collect()} == {(i, j, *sorted((side[i], side[j]))) for (i, j), s in across.items() if s >= 0.7}
     assert abs(split.greatest_across(v).first().sim - max(across.values())) < 1e-12
+
+
+@pytest.mark.parametrize("repeat", [(), (4, 11)])
+def test_lists_by_brute_force(spark, repeat):
+    """Candidates, their verification, union and search without a table of candidates; ids that repeat count once in a pair."""
+    rows = random_vectors(spark, 60, repeat=repeat)
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    centroids = spark.createDataFrame(random_vectors(spark, 6, seed=8), "id long, vec array<double>")
+    lists = {(i, tuple(a)): [k for _, k in sorted((-cosine(a, c), k) for k, c in random_vectors(spark, 6, seed=8))] for i, a in rows}
+    pairs = {(i, j) for i, a in rows for j, b in rows if i < j and lists[j, tuple(b)][0] in lists[i, tuple(a)][:2]}
+    got = ivf.candidate_pairs(v, centroids, 2)
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted(pairs)
+    near = {(i, j) for i, a in rows for j, b in rows if i < j and cosine(a, b) >= 0.6}
+    both = ivf.union_sums(v, centroids, 2, 0.6).first()
+    assert tuple(both) == (len(pairs | near), sum(i for i, _ in pairs | near), sum(j for _, j in pairs | near))
+    if not repeat:
+        assert "Exchange hashpartitioning(i" not in plan(got)
+        good, counts = ivf.verified_pairs(v, centroids, 2, 0.6)
+        assert {(r.i, r.j) for r in good.collect()} == pairs & near and tuple(counts.first()) == (len(pairs), len(pairs & near), len(pairs - near))
+        asked = {(i, j) for i, j in near | {(j, i) for i, j in near}}
+        known = spark.createDataFrame(sorted(asked), "i long, j long")
+        assert {(r.i, r.j) for r in ivf.covered(known, v, centroids, 2).collect()} == {p for p in asked if (min(p), max(p)) in pairs}
+        want = {i: sorted((-cosine(a, b), j) for j, b in rows if lists[j, tuple(b)][0] in lists[i, tuple(a)][:2])[:4] for i, a in rows}
+        assert {(r.i, r.rank, r.j) for r in ivf.search(v, v, centroids, 4, 2).collect()} == {(i, k + 1, j) for i, found in want.items() for k, (_, j) in enumerate(found)}
