@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import cut
 from . import ivf, lsh, similarity
 
 STRATEGIES = ("exact", "lsh", "ivf", "hybrid")
@@ -35,30 +37,45 @@ def candidate_pairs(vectors: DataFrame, sets: DataFrame | None, threshold: float
     return found, facts
 
 
+def verified_pairs(vectors: DataFrame, sets: DataFrame | None, threshold: float = 0.9, strategy: str = "lsh", num_perm: int = 128, n_probe: int = 4, n_lists: int | None = None, seed: int = 13) -> tuple[DataFrame, DataFrame, dict, Callable[[DataFrame], DataFrame]]:
+    """Of the candidate pairs of `candidate_pairs`: those that hold, one row of counts as `verify` has it, how they were found, and which of given
+    pairs are candidates. Where lists or all pairs make the candidates, no table of them is written; text candidates are, once."""
+    n = vectors.count()
+    within = lambda table: lambda pairs: pairs.join(table.select(F.col("i").alias("low"), F.col("j").alias("high")), (F.least("i", "j") == F.col("low")) & (F.greatest("i", "j") == F.col("high")), "left_semi")
+    if strategy in STRATEGIES and (strategy == "exact" or n <= EXACT_BELOW):
+        good = cut(similarity.pairs_above(vectors, threshold), "verified")
+        counts = good.agg(F.count(F.lit(1)).alias("candidates"), F.count(F.lit(1)).alias("verified"), F.lit(0).cast("long").alias("rejected"))
+        return good, counts, {"strategy": strategy, "n": n, "used_exact_fallback": strategy != "exact"}, within(good)
+    if strategy == "ivf":
+        lists = n_lists or ivf.default_lists(n)
+        centroids = ivf.train_centroids(vectors, lists, seed)
+        good, counts = ivf.verified_pairs(vectors, centroids, n_probe, threshold)
+        return cut(good, "verified"), counts, {"strategy": strategy, "n": n, "used_exact_fallback": False, "n_lists": lists, "n_probe": n_probe}, lambda pairs: ivf.covered(pairs, vectors, centroids, n_probe)
+    pairs, facts = candidate_pairs(vectors, sets, threshold, strategy, num_perm, n_probe, n_lists, seed)
+    pairs = cut(pairs, "candidates")
+    good, counts = similarity.verify(pairs, vectors, threshold)
+    return cut(good, "verified"), counts, facts, within(pairs)
+
+
 def benchmark(vectors: DataFrame, sets: DataFrame | None, strategies=STRATEGIES, k: int = 10, threshold: float = 0.9, n_lists: int = 16, n_probe: int = 6) -> list[dict]:
     """Per strategy: recall and precision of pairs, recall of the k nearest, candidates per row, seconds and speed-up."""
     n = vectors.count()
     began = time.perf_counter()
-    truth = similarity.pairs_above(vectors, threshold).persist()
-    top = similarity.top_k(vectors, k).select("i", "j").persist()
+    top = cut(similarity.top_k(vectors, k).select("i", "j"), "top")
+    truth = cut(similarity.pairs_above(vectors, threshold), "truth")
     n_top = top.count()
-    truth.count()
     exact_s = time.perf_counter() - began
     out = []
     for strategy in strategies:
         began = time.perf_counter()
+        # Of the k nearest, those that are candidates are nearest among the candidates too, so they are what a search of the pools finds.
         if strategy == "exact":
-            pairs = truth.select("i", "j")
+            found, candidates, hit = truth, truth.count(), n_top
         else:
-            pairs, _ = candidate_pairs(vectors, sets, threshold, strategy, n_probe=n_probe, n_lists=n_lists)
-        pairs = pairs.persist()
-        candidates = pairs.count()
+            found, counts, _, among = verified_pairs(vectors, sets, threshold, strategy, n_probe=n_probe, n_lists=n_lists)
+            candidates, hit = counts.first()["candidates"], None
         seconds = time.perf_counter() - began
-        found, _ = similarity.verify(pairs, vectors, threshold)
         scores = similarity.pair_recall(truth, found).first()
-        both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
-        pools = top if strategy == "exact" else ivf.rerank(both, vectors, k).select("i", "j")
-        hit = pools.join(top, ["i", "j"], "left_semi").count()
+        hit = among(top).count() if hit is None else hit
         out.append({"strategy": strategy, "n": n, "recall_at_k": hit / n_top if n_top else 1.0, "pair_recall": scores["recall"], "pair_precision": scores["precision"], "f1": scores["f1"], "candidates_per_row": candidates / n if n else 0.0, "exact_ms": 1000 * exact_s, "ann_ms": 1000 * seconds, "speedup": exact_s / seconds if seconds else None})
-        pairs.unpersist()
     return out

@@ -259,15 +259,14 @@ def test_groups_send_pairs_of_different_groups_only(spark):
             assert {r.id: r.group_id for r in similarity.near_groups(v, threshold, 11, first).collect()} == root
 
 
-def test_leaks_across_splits_by_brute_force(spark):
+def test_nearest_earlier_member_by_brute_force(spark):
     rows = random_vectors(spark, 60)
-    side = {i: ("train", "val", "test", None)[i % 4] for i, _ in rows}
-    v = spark.createDataFrame([(i, side[i], a) for i, a in rows], "id long, split string, vec array<double>")
-    across = {(i, j): cosine(a, b) for i, a in rows for j, b in rows if i < j and side[i] and side[j] and side[i] != side[j]}
-    got = split.near_across(v, 0.7)
-    assert "Join" not in plan(got)
-    assert {(r.i, r.j, r.split_a, r.split_b) for r in got.collect()} == {(i, j, *sorted((side[i], side[j]))) for (i, j), s in across.items() if s >= 0.7}
-    assert abs(split.greatest_across(v).first().sim - max(across.values())) < 1e-12
+    group = {i: i % 3 if i < 50 else i for i, _ in rows}
+    found = spark.createDataFrame(list(group.items()), "id long, group_id long")
+    got = dedup.nearest_earlier(found, spark.createDataFrame(rows, "id long, vec array<double>"))
+    assert "Join" not in plan(got).split("MapInArrow")[0]  # no table of a group's pairs
+    want = {i: max((cosine(a, b), -j) for j, b in rows if j < i and group[j] == group[i]) for i, a in rows if group[i] != i}
+    assert {r.id: (round(r.similarity, 9), -r.kept_index) for r in got.collect()} == {i: (round(s, 9), j) for i, (s, j) in want.items()}
 
 
 @pytest.mark.parametrize("repeat", [(), (4, 11)])
@@ -292,3 +291,28 @@ def test_lists_by_brute_force(spark, repeat):
         assert {(r.i, r.j) for r in ivf.covered(known, v, centroids, 2).collect()} == {p for p in asked if (min(p), max(p)) in pairs}
         want = {i: sorted((-cosine(a, b), j) for j, b in rows if lists[j, tuple(b)][0] in lists[i, tuple(a)][:2])[:4] for i, a in rows}
         assert {(r.i, r.rank, r.j) for r in ivf.search(v, v, centroids, 4, 2).collect()} == {(i, k + 1, j) for i, found in want.items() for k, (_, j) in enumerate(found)}
+
+
+def test_strategies_write_no_table_of_list_candidates(spark):
+    rows = random_vectors(spark, 300, dim=8)
+    v = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    good, counts, facts, among = candidates.verified_pairs(v, None, 0.7, "ivf", n_probe=2, n_lists=6)
+    pairs, _ = candidates.candidate_pairs(v, None, 0.7, "ivf", n_probe=2, n_lists=6)
+    want, n = similarity.verify(pairs, v, 0.7)
+    assert {(r.i, r.j) for r in good.collect()} == {(r.i, r.j) for r in want.collect()} and tuple(counts.first()) == tuple(n.first())
+    line = {r["strategy"]: r for r in candidates.benchmark(v, None, ("exact", "ivf"), 5, 0.7, 6, 2)}
+    pools = ivf.rerank(pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))), v, 5)
+    top = similarity.top_k(v, 5)
+    assert line["ivf"]["recall_at_k"] == pools.join(top, ["i", "j"], "left_semi").count() / top.count() and line["exact"]["recall_at_k"] == 1
+    assert line["ivf"]["candidates_per_row"] == pairs.count() / 300
+
+
+def test_leaks_across_splits_by_brute_force(spark):
+    rows = random_vectors(spark, 60)
+    side = {i: ("train", "val", "test", None)[i % 4] for i, _ in rows}
+    v = spark.createDataFrame([(i, side[i], a) for i, a in rows], "id long, split string, vec array<double>")
+    across = {(i, j): cosine(a, b) for i, a in rows for j, b in rows if i < j and side[i] and side[j] and side[i] != side[j]}
+    got = split.near_across(v, 0.7)
+    assert "Join" not in plan(got)
+    assert {(r.i, r.j, r.split_a, r.split_b) for r in got.collect()} == {(i, j, *sorted((side[i], side[j]))) for (i, j), s in across.items() if s >= 0.7}
+    assert abs(split.greatest_across(v).first().sim - max(across.values())) < 1e-12
