@@ -53,11 +53,26 @@ def assign_singles(units: DataFrame, ratios=RATIOS) -> DataFrame:
     The greedy rule, most wanted split first, equals dealing slots (split, r), r = 1..want, by falling r, then split; the k-th unit
     of its stratum by key takes the k-th slot.
     """
-    ranked = units.withColumn("k", F.row_number().over(W.partitionBy("stratum").orderBy("key", "unit")))
-    want = targets(units.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")), ratios).where("want > 0")
-    slots = want.select("stratum", "s", F.explode(F.sequence(F.lit(1), F.col("want"))).alias("r"))
-    slots = slots.select("stratum", "s", F.row_number().over(W.partitionBy("stratum").orderBy(F.col("r").desc(), "s")).alias("k"))
-    return ranked.join(slots, ["stratum", "k"]).select("unit", "stratum", "s")
+    parts = units.withColumn("part", F.coalesce(F.substring("key", 1, 2), F.lit("")))
+    # Two levels: within the units whose keys begin alike, after the units of lesser beginnings. Where keys are hashes, no task has a whole stratum.
+    sizes = parts.groupBy("stratum", "part").agg(F.count(F.lit(1)).alias("m"))
+    before = sizes.withColumn("base", F.coalesce(F.sum("m").over(W.partitionBy("stratum").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    dealt = before.join(_slots(targets(sizes.groupBy("stratum").agg(F.sum("m").alias("n")), ratios)), "stratum").select("stratum", "part", "base", "slots")
+    ranked = parts.withColumn("r", F.row_number().over(W.partitionBy("stratum", "part").orderBy("key", "unit"))).join(dealt, ["stratum", "part"])
+    at = F.col("base") + F.col("r") - 1
+    here = F.get(F.filter("slots", lambda x: (x["start"] <= at) & (at < x["start"] + x["length"])), F.lit(0))
+    placed = ranked.select("unit", "stratum", at.alias("at"), here.alias("here"))
+    return placed.select("unit", "stratum", F.get("here.open", ((F.col("at") - F.col("here.start")) % F.size("here.open")).cast("int")).alias("s"))
+
+
+def _slots(want: DataFrame) -> DataFrame:
+    """(stratum, slots) from (stratum, s, want): between two wants, the splits that still want units take turns; slots has the start and length
+    of each such run and its splits `open`. So a stratum has three runs at most, not a slot a unit."""
+    down = W.partitionBy("stratum").orderBy(F.col("want").desc())
+    levels = want.where("want > 0").groupBy("stratum", "want").agg(F.collect_list("s").alias("some"))
+    runs = levels.withColumn("open", F.array_sort(F.flatten(F.collect_list("some").over(down.rowsBetween(W.unboundedPreceding, 0))))).withColumn("length", (F.col("want") - F.coalesce(F.lead("want").over(down), F.lit(0))) * F.size("open"))
+    runs = runs.withColumn("start", F.coalesce(F.sum("length").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return runs.groupBy("stratum").agg(F.collect_list(F.struct("start", "length", "open")).alias("slots"))
 
 
 def assign_weighted(units: DataFrame, ratios=RATIOS) -> DataFrame:

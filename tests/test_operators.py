@@ -316,3 +316,21 @@ def test_leaks_across_splits_by_brute_force(spark):
     assert "Join" not in plan(got)
     assert {(r.i, r.j, r.split_a, r.split_b) for r in got.collect()} == {(i, j, *sorted((side[i], side[j]))) for (i, j), s in across.items() if s >= 0.7}
     assert abs(split.greatest_across(v).first().sim - max(across.values())) < 1e-12
+
+
+def test_single_units_are_dealt_without_a_slot_a_unit(spark):
+    """Ranks are spread over the beginnings of keys, and a stratum's slots are a few runs: nothing as long as the units is broadcast."""
+    r = random.Random(5)
+    rows = [(i, f"s{min(r.randrange(6), 3)}", None if i % 41 == 0 else "" if i % 43 == 0 else f"{r.randrange(400):03x}") for i in range(300)]
+    units = spark.createDataFrame(rows, "unit long, stratum string, key string")
+    done = split.assign_singles(units)
+    assert "Generate explode(sequence" not in plan(done)
+    want = {}
+    for stratum in {s for _, s, _ in rows}:
+        mine = sorted((k is not None, k or "", u) for u, s, k in rows if s == stratum)
+        left = split.apportion(len(mine), split.RATIOS)
+        for _, _, u in mine:
+            s = max(range(3), key=lambda k: (left[k], -k))
+            left[s] -= 1
+            want[u] = s
+    assert {x.unit: x.s for x in done.collect()} == want
