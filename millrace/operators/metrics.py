@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from dataclasses import asdict, dataclass, field
@@ -9,6 +10,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import grams as G
 from ..functions import text as T
 from . import similarity
 
@@ -25,9 +27,17 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / F.nullif(b, F.lit(0)))
 
 
+def _counts(df: DataFrame, toks: str, sizes: tuple[int, ...], by: tuple[str, ...]) -> DataFrame:
+    """(by..., size, ngram, n) of a column of texts, read once for all sizes, or of tokens."""
+    if dict(df.dtypes)[toks] == "string":
+        return G.gram_counts(df, toks, sizes, *by).groupBy(*by, "size", "ngram").agg(F.sum("n").alias("n"))
+    found = [T.ngram_counts(df, toks, n, *by).withColumn("size", F.lit(n)) for n in sizes]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def distinct_share(df: DataFrame, toks: str, n: int, *by: str) -> DataFrame:
-    """(by..., total, distinct, share) of runs of n tokens."""
-    counts = T.ngram_counts(df, toks, n, *by)
+    """(by..., total, distinct, share) of runs of n tokens; `toks` has texts (n up to 2) or tokens."""
+    counts = _counts(df, toks, (n,), by)
     return counts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).withColumn("share", _ratio(F.col("distinct"), F.col("total")))
 
 
@@ -36,11 +46,12 @@ def type_token_ratio(df: DataFrame, toks: str = "toks") -> DataFrame:
 
 
 def diversity(df: DataFrame, toks: str, *by: str) -> DataFrame:
-    """(by..., type_token_ratio, distinct_1, distinct_2, n_tokens, n_types)."""
-    one = distinct_share(df, toks, 1, *by).select(*by, F.col("share").alias("type_token_ratio"), F.col("share").alias("distinct_1"), F.col("total").alias("n_tokens"), F.col("distinct").alias("n_types"))
-    two = distinct_share(df, toks, 2, *by).select(*by, F.col("share").alias("distinct_2"))
-    joined = one.join(two, list(by), "left") if by else one.join(two.limit(1), F.lit(True), "left")
-    return joined.withColumn("distinct_2", F.coalesce("distinct_2", F.lit(0.0)))
+    """(by..., type_token_ratio, distinct_1, distinct_2, n_tokens, n_types); `toks` has texts or tokens."""
+    of = lambda n, c: F.when(F.col("size") == n, c)
+    sums = [F.coalesce(F.sum(of(n, F.col("n"))), F.lit(0)).alias(f"total_{n}") for n in (1, 2)] + [F.count(of(n, F.lit(1))).alias(f"types_{n}") for n in (1, 2)]
+    found = _counts(df, toks, (1, 2), by).groupBy(*by).agg(*sums)
+    one, two = (_ratio(F.col(f"types_{n}"), F.col(f"total_{n}")) for n in (1, 2))
+    return found.select(*by, one.alias("type_token_ratio"), one.alias("distinct_1"), two.alias("distinct_2"), F.col("total_1").alias("n_tokens"), F.col("types_1").alias("n_types"))
 
 
 def statistics(value: Column, prefix: str, percentiles=PERCENTILES) -> list[Column]:

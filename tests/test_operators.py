@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import grams as G
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import candidates, dedup, embed, generate, ivf, lsh, metrics, similarity, split
@@ -334,3 +335,58 @@ def test_single_units_are_dealt_without_a_slot_a_unit(spark):
             left[s] -= 1
             want[u] = s
     assert {x.unit: x.s for x in done.collect()} == want
+
+
+TEXTS = ["a b a b c", "Ünïcode straße a-b don't", "日本 語 ﬁne", None, "", "!!!", "a b a b c", "x" * 9, "a  b ", "w" * 3 + " 日" * 4]
+
+
+def text_rows(spark):
+    return spark.createDataFrame([(i, t, "pq"[i % 2] if i != 4 else None) for i, t in enumerate(TEXTS)], "id long, text string, lang string").repartition(3)
+
+
+def test_texts_are_counted_by_batches(spark, monkeypatch):
+    """Runs counted in Python are those of the expressions, for texts and for tokens, at any size of slices."""
+    df = text_rows(spark)
+    toks = df.withColumn("toks", T.tokens(T.normalize(F.col("text"))))
+    for n in (1, 2):
+        want = {tuple(r) for r in T.ngram_counts(toks, "toks", n, "lang").collect()}
+        for most in (1, 40, 1 << 20):
+            monkeypatch.setattr(G, "SLICE", most)
+            got = G.gram_counts(df, "text", (n,), "lang").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+            assert {tuple(r) for r in got.collect()} == want
+    assert "ArrowEvalPython" not in plan(metrics.diversity(df, "text", "lang"))
+    for by in ((), ("lang",)):
+        assert {tuple(r) for r in metrics.diversity(df, "text", *by).collect()} == {tuple(r) for r in metrics.diversity(toks, "toks", *by).collect()}
+    assert {r.id: r.norm for r in G.normalized(df).collect()} == {i: T.normalize_exactly(t) for i, t in enumerate(TEXTS)}
+    sizes = {r.id: (r.n, r.d) for r in toks.select("id", T.word_shingles(F.col("toks")).alias("s")).where(F.size("s") > 0).select("id", F.size("s").alias("n"), F.size(F.array_distinct("s")).alias("d")).collect()}
+    assert {r.id: (r.n, r.n_distinct) for r in G.shingle_sizes(df, "id", "text").collect()} == sizes
+    tf = T.ngram_counts(toks, "toks", 1, "id")
+    assert {tuple(r) for r in G.row_counts(df, "id", "text").collect()} == {tuple(r) for r in tf.collect()}
+    assert {tuple(r) for r in G.row_frequencies(df, "text").collect()} == {tuple(r) for r in tf.groupBy("ngram").count().collect()}
+
+
+def test_exact_audit_sends_no_texts(spark):
+    df = text_rows(spark).select("id", "text")
+    audit = dedup.exact_audit(df)
+    assert {(r.id, r.kept_index, r.preview) for r in audit.collect()} == {(6, 0, TEXTS[6]), (4, 3, ""), (5, 3, "!!!")}
+    assert {r.input_hash for r in audit.where("id = 6").collect()} == {df.where("id = 6").select(T.content_hash(F.col("text"))).first()[0]}
+    assert "text" not in plan(audit).split("Exchange")[1]
+
+
+def test_text_signatures_and_hashed_vectors(spark, monkeypatch):
+    """Signatures and vectors made by batches are those of the expressions, feature by feature."""
+    monkeypatch.setattr(G, "SLICE", 64)
+    df = text_rows(spark).select("id", "text")
+    sets = df.select("id", T.shingle_set(T.normalize(F.col("text"))).alias("features"))
+    want = {r.id: r.signature for r in lsh.signatures(sets, "features", 16).collect()}
+    assert {r.id: r.signature for r in lsh.text_signatures(df, 16).collect()} == want
+    bare = df.select("id", T.tokens(T.normalize(F.col("text"))).alias("features"))
+    assert {r.id: r.signature for r in lsh.text_signatures(df, 8, words=(1, 1), chars=None, marked=False).collect()} == {r.id: r.signature for r in lsh.signatures(bare, "features", 8).collect()}
+    for chars in (None, (3, 5)):
+        found = T.features(T.normalize(F.col("text"))) if chars else F.transform(T.word_shingles(T.tokens(T.normalize(F.col("text")))), lambda x: F.concat(F.lit("w:"), x))
+        sums = {i: [0.0] * 8 for i in range(len(TEXTS))}
+        for r in df.select("id", F.explode(found).alias("f")).groupBy("id", "f").count().withColumn("h", F.md5(F.concat(F.lit("13:"), "f"))).collect():
+            sums[r.id][int(r.h[:8], 16) % 8] += (1 if int(r.h[8:16], 16) % 2 else -1) * (1 + math.log(r["count"]))
+        for r in embed.HashingEmbedder(8, chars=chars).embed(df).collect():
+            size = math.sqrt(sum(x * x for x in sums[r.id]))
+            assert all(abs(x - y / (size or 1)) < 1e-9 for x, y in zip(r.vec, sums[r.id], strict=True))
